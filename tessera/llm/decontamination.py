@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import MARK_RUN, plain_words
+from tessera.llm.words import let, plain_words
 from tessera.runtime import materialize, table
 
 N = 10
@@ -51,10 +51,14 @@ def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     spark = docs.sparkSession
     known = materialize(item_windows(items, item_id, item_text, n), "windows")
     lengths = sorted(r[0] for r in known.select("dc_len").distinct().collect())  # n values at most
-    words = docs.select(*_key(docs, doc_id, text), plain_words(F.col(text)).alias("dc_words")).withColumn("dc_n_words", F.size("dc_words").cast("long"))
     # One array for each row: an element that every row has, then the windows of each length in turn.
-    hashes = words.withColumn("dc_all", F.concat(F.array(F.lit(0).cast("bigint")), *[windows_of(F.col("dc_words"), k) for k in lengths]))
-    probes = hashes.select(*KEY, "dc_n_words", "dc_words", F.posexplode("dc_all").alias("dc_at", "dc_probe"))
+    in_row = let(
+        plain_words(F.col(text)),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), w.alias("words"), F.concat(F.array(F.lit(0).cast("bigint")), *[windows_of(w, k) for k in lengths]).alias("all")),
+    )
+    rows = docs.select(*_key(docs, doc_id, text), in_row.alias("dc_row"))
+    # No array is empty; explode would put a filter on its size, and the array's whole computation, below.
+    probes = rows.select(*KEY, F.col("dc_row.n").alias("dc_n_words"), F.col("dc_row.words").alias("dc_words"), F.posexplode_outer("dc_row.all").alias("dc_at", "dc_probe"))
     before = {k: sum((F.greatest(F.col("dc_n_words") - (j - 1), F.lit(0)) for j in lengths if j < k), F.lit(0)) for k in lengths}
     start = F.lit(0)
     for k in lengths:
@@ -137,19 +141,28 @@ def op4_decontamination(spark, sf_dir):
     )
 
 
-ORACLE = r"""
+_LEADS = ", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, N))
+_WINDOWS = " UNION ALL ".join(
+    f"SELECT r, i, {k} AS n, concat_ws(' ', {', '.join(['word', *(f'w{j}' for j in range(1, k))])}) AS win FROM leads WHERE {f'w{k - 1} IS NOT NULL' if k > 1 else 'true'} AND {k} IN (SELECT n FROM ns)"
+    for k in range(1, N + 1)
+)
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
 ), b AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark
 ), bw AS (
   SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS win
-  FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+  FROM (SELECT item, w, least({N}, len(w)) AS n, unnest(range(1, len(w) - least({N}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
 ), ns AS (
   SELECT DISTINCT n FROM bw
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), leads AS (
+  SELECT r, i, word, {_LEADS} FROM words WINDOW o AS (PARTITION BY r ORDER BY i)
 ), dw AS (
-  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
-  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)
+  {_WINDOWS}
 ), h AS (
   SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
 ), k AS (

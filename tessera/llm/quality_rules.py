@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import space_words
+from tessera.llm.words import let, space_words
 from tessera.runtime import materialize, small, table
 
 WINDOW = 5
@@ -31,17 +31,14 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words within windows that occur twice or more, the first occurrence included (long)."""
     n = F.size(words)
-    hashes = F.when(
-        n >= window,
-        F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(*[F.get(words, i + k - 1) for k in range(window)])),
-    )
-    return _covered(hashes, window)
+    hashes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(*[F.get(words, i + k - 1) for k in range(window)]))
+    return F.when(n >= window, let(hashes, lambda h: _covered(h, window))).otherwise(0).cast("long")
 
 
 def _covered(hashes: Column, window: int) -> Column:
     """Words covered by the windows whose hash is not alone, in sorted order of position."""
     spots = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    again = _let(
+    again = let(
         spots,
         lambda s: F.array_sort(
             F.transform(
@@ -53,27 +50,25 @@ def _covered(hashes: Column, window: int) -> Column:
             )
         ),
     )
-    total = _let(again, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1) - x, F.lit(window)))), F.lit(0), lambda a, x: a + x))
+    total = let(again, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1) - x, F.lit(window)))), F.lit(0), lambda a, x: a + x))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), total).otherwise(0).cast("long")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the measures that rules use, each named qr_..., and qr_base_failed."""
     content = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(HAS_WORD))
-    frame = docs.withColumn("qr_words", space_words(content))
-    frame = frame.select(
+    by_words = let(
+        space_words(content),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("again")),
+    )
+    frame = docs.withColumn("qr_words", by_words).select(
         *docs.columns,
-        F.size("qr_words").cast("long").alias("qr_n_words"),
-        F.length(F.array_join("qr_words", "")).cast("long").alias("qr_word_chars"),
+        F.col("qr_words.n").alias("qr_n_words"),
+        F.col("qr_words.chars").alias("qr_word_chars"),
         F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("qr_n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("qr_n_dup_lines"),
-        repeated_words(F.col("qr_words")).alias("qr_n_repeat_words"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("qr_n_dup_lines"),
+        F.col("qr_words.again").alias("qr_n_repeat_words"),
     )
     return frame.withColumn(
         "qr_base_failed",
@@ -121,9 +116,11 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents
 ), x AS (
-  SELECT r, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS i, w FROM d WHERE len(w) >= 5
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), l AS (
+  SELECT r, i, word AS w0, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3, lead(word, 4) OVER o AS w4 FROM x WINDOW o AS (PARTITION BY r ORDER BY i)
 ), g AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS c FROM x
+  SELECT r, i, count(*) OVER (PARTITION BY r, w0, w1, w2, w3, w4) AS c FROM l WHERE w4 IS NOT NULL
 ), p AS (
   SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM g WHERE c > 1
 ), rep AS (

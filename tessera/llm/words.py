@@ -35,3 +35,12 @@ def lower_ascii(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Lower-cased runs of letters, digits and characters beyond ASCII; an empty array for null."""
     return _parts(F.btrim(lower_ascii(text), F.lit(MARKS)), MARK_RUN)
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once a row.
+
+    A column that is only named can be put in the place of its name by the optimizer, also within a lambda
+    function, where it would be computed anew for each element. A lambda's own variable cannot.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
