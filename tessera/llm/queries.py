@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, mixing, quality_rules
+from tessera.llm import decontamination, mixing, quality_rules, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op10_mixing": mixing.op10_mixing,
