@@ -121,7 +121,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """Logistic over the presence of selected words and stems."""
+    """Logistic over log2(1 + count) of selected words and stems."""
 
     buckets: np.ndarray
     weights: np.ndarray
@@ -132,11 +132,11 @@ class ToxicityModel:
             return np.zeros(len(texts))
         weight = np.zeros(1 << BITS, np.float32)
         weight[self.buckets] = self.weights
-        text, b, _, _ = counted(texts, stems, lambda x: weight[x] != 0)
-        return sigmoid(self.bias + np.bincount(text, weights=weight[b], minlength=len(texts)))
+        text, b, counts, _ = counted(texts, stems, lambda x: weight[x] != 0)
+        return sigmoid(self.bias + np.bincount(text, weights=weight[b] * np.log2(1 + counts), minlength=len(texts)))
 
 
-def train_nnpu(y, row, b, prior: float, most: int = 2000, rounds: int = 100, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
+def train_nnpu(y, row, b, counts, prior: float, most: int = 2000, rounds: int = 200, rate: float = 0.1, decay: float = 3e-4) -> ToxicityModel:
     """Positives (y = 1) against unlabelled rows (y = 0), of which a share of `prior` is taken to be positive.
 
     The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second part falls below zero its
@@ -156,17 +156,17 @@ def train_nnpu(y, row, b, prior: float, most: int = 2000, rounds: int = 100, rat
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[b] >= 0
-    row, at = row[kept], place[b[kept]]
+    row, at, x = row[kept], place[b[kept]], np.log2(1 + counts[kept])
     w = np.zeros(len(chosen) + 1)  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[at], minlength=len(y)) + w[-1]
+        z = np.bincount(row, weights=x * w[at], minlength=len(y)) + w[-1]
         p = sigmoid(z)
         negative_part = np.logaddexp(0, z[unlabelled]).mean() - prior * np.logaddexp(0, z[positive]).mean()
         negative = np.where(unlabelled, p / n_u, -prior * p / n_p)
         step = np.where(positive, prior * (p - 1) / n_p, 0) + negative if negative_part >= 0 else -negative
-        gradient = np.append(np.bincount(at, weights=step[row], minlength=len(chosen)) + decay * w[:-1], step.sum())
+        gradient = np.append(np.bincount(at, weights=x * step[row], minlength=len(chosen)) + decay * w[:-1], step.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         w -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
     return ToxicityModel(chosen, w[:-1].astype(np.float32), float(w[-1]))
@@ -178,14 +178,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, positive
     known = known.filter(learnable).drop("doc_id")
     count = known.agg(F.count("y").alias("n"), F.sum("y").alias("p")).first()
     if not count["n"] or not count["p"]:
-        return train_nnpu(np.zeros(0), np.zeros(0, int), np.zeros(0, int), 0)
+        return train_nnpu(np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0)
     hashed = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     pool = docs.filter(learnable & F.col("doc_id").isNotNull())
     bad = pool.join(known.filter("y = 1").filter(within(F.xxhash64(F.col("id"), F.lit("p")), count["p"], positives)), F.col("doc_id") == F.col("id"), "left_semi")
     size = pool.select("doc_id").count()
     rows = bad.select("text", F.lit(1).alias("y")).union(pool.filter(within(hashed, size, unlabelled)).select("text", F.lit(0).alias("y")))
-    y, _, row, b, _ = unpacked(training_features(rows, stems))
-    return train_nnpu(y, row, b, count["p"] / count["n"])
+    y, _, row, b, counts = unpacked(training_features(rows, stems))
+    return train_nnpu(y, row, b, counts, count["p"] / count["n"])
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import classifiers, decontamination, mixing, quality_rules, token_files
+from tessera.llm import classifiers, decontamination, language, mixing, quality_rules, token_files
 
 QUERIES = {
     "op6_toxicity": classifiers.op6_toxicity,
     "op9_quality_classifier": classifiers.op9_quality_classifier,
     "op1_token_files": token_files.op1_token_files,
+    "op3_language_id": language.op3_language_id,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op10_mixing": mixing.op10_mixing,
