@@ -18,13 +18,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """node, component (its smallest node): a row for each node with an edge to another. Nulls and loops are ignored."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u > v").distinct()
     pairs = materialize(pairs, "edges")
-    before = None
     for _ in range(max_rounds):
         pairs = materialize(_small_star(_large_star(pairs)), "stars")
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Done when no node that others are tied to is tied to another itself.
+        if not pairs.select("v").distinct().join(pairs.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct()
@@ -44,3 +42,14 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
     joined = pairs.join(least, F.col("u") == F.col("n"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("n", "m")).distinct()
+
+
+def joined_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """`labels` (node, component) with more edges: only components are tied, so the work follows the new edges."""
+    left = labels.select(F.col("node").alias(a), F.col("component").alias("u"))
+    right = labels.select(F.col("node").alias(b), F.col("component").alias("v"))
+    tied = edges.select(a, b).join(left, a, "left").join(right, b, "left").select(F.coalesce("u", a).alias("a"), F.coalesce("v", b).alias("b"))
+    merged = materialize(connected_components(tied), "merged")
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return materialize(old.union(merged.select("node", "component")).distinct(), "labels")
