@@ -21,7 +21,7 @@ def _states(spark, sf_dir):
 
 def promise_history(spark, sf_dir):
     found = P.last_state(_states(spark, sf_dir))
-    return found.select("promise", "t", "t1", "t2", *[F.round(c, 6).alias(c) for c in ("q", "q1", "q2", "q_av", "q_var")], F.round(F.col("dt_av") / 1e9, 3).alias("dt_av_s"), F.round(F.sqrt("dt_var") / 1e9, 3).alias("dt_sd_s"))
+    return found.select("promise", "t", "t1", "t2", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("q", "q1", "q2", "q_av", "q_var")], F.round(F.col("dt_av") / 1e9, 3).alias("dt_av_s"), F.round(F.sqrt("dt_var") / 1e9, 3).alias("dt_sd_s"))
 
 
 def derivatives(spark, sf_dir):
@@ -88,7 +88,7 @@ _SUM = f"w AS (SELECT {_slot('ts')} AS slot, sum(value) AS v FROM events GROUP B
 _GRID = f"g AS (SELECT CAST(i AS INT) AS idx, {_slot('(make_timestamp((345200 + i * 300) * 1000000))')} AS slot FROM range(2016) r(i))"
 ORACLES = {
     "promise_history": f"""WITH {STATES}, e AS (SELECT promise, list_reduce(list_prepend(0.0::DOUBLE, list(dt ORDER BY i) FILTER (dt IS NOT NULL)), lambda x, y: 0.5::DOUBLE * x + 0.5::DOUBLE * y) AS dt_av FROM d GROUP BY promise)
-SELECT promise, t, t1, t2, round(q, 6) AS q, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q_av, 6) AS q_av, round(q_var, 6) AS q_var, round(dt_av / 1e9, 3) AS dt_av_s, round(sqrt(0.5::DOUBLE * q_var + 0.5::DOUBLE * (dt_av - dt) * (dt_av - dt)) / 1e9, 3) AS dt_sd_s
+SELECT promise, t, t1, t2, round(q + 1e-9, 6) AS q, round(q1 + 1e-9, 6) AS q1, round(q2 + 1e-9, 6) AS q2, round(q_av + 1e-9, 6) AS q_av, round(q_var + 1e-9, 6) AS q_var, round(dt_av / 1e9, 3) AS dt_av_s, round(sqrt(0.5::DOUBLE * q_var + 0.5::DOUBLE * (dt_av - dt) * (dt_av - dt)) / 1e9, 3) AS dt_sd_s
 FROM d JOIN e USING (promise) QUALIFY row_number() OVER (PARTITION BY promise ORDER BY i DESC) = 1""",
     "derivatives": f"WITH {STATES} SELECT seq, round({_D1}, 5) AS d1, round({_D2}, 5) AS d2 FROM d WHERE i > 2",
     "trust_score": f"""WITH {STATES}, x AS (SELECT *, 0.5::DOUBLE / (1 + exp(3 * (q - {BOUND}::DOUBLE) / {BOUND}::DOUBLE)) / CASE WHEN abs(q_av) < sqrt(q_var) THEN 1.5::DOUBLE ELSE 1 END AS d0, {_D1} AS d1, {_D2} AS d2 FROM d WHERE i > 2),
