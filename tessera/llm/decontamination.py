@@ -109,10 +109,8 @@ def hit_words(spans: Column) -> Column:
 def remove_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a hit, with their own columns."""
     bad = materialize(find_hits(docs, items, doc_id, text, **options).filter(F.size("dc_spans") > 0).select(*KEY).distinct(), "contaminated")
-    key = _key(docs, doc_id, text)
     same = [a.eqNullSafe(bad[b]) for a, b in zip((F.col(doc_id), F.xxhash64(F.col(text)), F.coalesce(F.octet_length(text), F.lit(-1))), KEY, strict=True)]
-    assert len(key) == len(same)
-    return docs.join(bad, same[0] & same[1] & same[2], "left_anti").select(*docs.columns)
+    return docs.join(bad, same[0] & same[1] & same[2], "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -10,8 +10,7 @@ sorted by cap / weight. Only the table of sources is ordered as a whole; documen
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a document
 without an id draws by its text; equal rows draw alike; a source without words has target 0; an empty
-table gives an empty result. Other columns pass through, and columns named like those added are kept out
-of the way by the prefix `mix_`.
+table gives an empty result. Other columns of mixed documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.words import count_words
+from tessera.llm.words import count_words, packed
 from tessera.runtime import materialize, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -78,8 +77,9 @@ def plan_copies(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of `docs`, each row as often as planned."""
-    planned = plan_copies(docs, **options).filter("mix_copies > 0")
-    return planned.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    names = [options.get(k, k) for k in ("doc_id", "text", "source")]
+    planned = plan_copies(packed(docs, "mix_row", *names), **options).filter("mix_copies > 0")
+    return planned.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("mix_row.*")
 
 
 def op10_mixing(spark, sf_dir):

@@ -7,13 +7,13 @@ so short texts are compared like long ones. Four registers make a band of 64 bit
 share one of the 32 bands but for one pair in 20 millions.
 
 1. Documents with the same set (128-bit fingerprint) are one node from here on, however many they are.
-2. Star rounds: in each bucket of nodes that share a band, all are paired with one node drawn by hash, so pairs
-   grow with the members of a bucket, not with their square. Each of the 32 bands draws anew.
+2. In each bucket of nodes that share a band, all are paired with one node drawn by hash, so pairs grow with the
+   members of a bucket, not with their square. Each of the 32 bands draws anew.
 3. Pairs are kept if their collision-corrected Jaccard estimate is not below 0.8 by more than 4.5 standard
    errors, and links are confirmed on the full sets, in integers. Components are then formed.
 4. In buckets that still hold nodes of several components, every node outside the bucket's largest component
-   is compared with all nodes of other components, so no link within a bucket is left out. More star rounds come
-   first while such comparisons would be many against the nodes.
+   is compared with all nodes of other components, so no link within a bucket is left out. Before that, in large
+   buckets, those outside are paired with some nodes of the largest component, drawn anew in each turn.
 
 Nothing is collected to the driver but counts; a hot node or bucket is pre-aggregated, or joined so that the
 optimizer can split it. Every step is written to the shared folder.
@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.token_files import slices
-from tessera.operators.components import connected_components
+from tessera.operators.components import connected_components, joined_components
 from tessera.runtime import materialize, small, table
 
 REGISTERS, PER_BAND, MANTISSA = 128, 4, 10
 PERCENT = 80
 SHINGLE = 2
 LENIENCE = 4.5
+#: Nodes drawn from a bucket's largest component in a turn, and comparisons for each node outside it that are made at once.
+CENTERS, DIRECT = 8, 256
 
 _orders = np.stack([np.random.default_rng(1000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
 
@@ -178,8 +180,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame | None:
-    """a, b: confirmed links enough to join every pair of nodes (key, n, high, low, bands) that shares a bucket and is similar."""
+def component_labels(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """node, component: of the nodes (key, n, high, low, bands) that are linked to another."""
     banded = nodes.select("key", F.posexplode("bands").alias("pos", "band"))
     shared = banded.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("members"), F.min_by("key", F.xxhash64("key", "pos")).alias("center")).filter("members > 1")
     members = materialize(banded.join(shared, ["pos", "band"]), "members")
@@ -194,28 +196,26 @@ def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, percent: in
         described = pairs.join(side("a"), "a").join(side("b"), "b").filter(near_sizes(F.col("n_a"), F.col("n_b"), percent))
         return materialize(confirmed(likely(described, percent), sets, percent), "links")
 
-    found = confirm(members.filter("key <> center").select(F.greatest("key", "center").alias("a"), F.least("key", "center").alias("b")).distinct())
-    open_buckets = members.filter("members > 2").drop("center")
-    for turn in range(1, 9):
-        labels = connected_components(found)
-        state = open_buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        by_component = state.groupBy("pos", "band", "component").agg(F.count(F.lit(1)).alias("own"), F.min_by("key", F.xxhash64("key", "pos", F.lit(turn))).alias("drawn"))
-        largest = by_component.groupBy("pos", "band").agg(
-            F.count(F.lit(1)).alias("components"),
-            F.max_by("component", F.struct("own", "component")).alias("largest"),
-            F.sum("own").alias("all"),
-            F.max("own").alias("most"),
-        )
-        several = largest.filter("components > 1")
-        state = materialize(state.join(several, ["pos", "band"]), "open")
-        counts = state.agg(F.sum(F.when(F.col("component") != F.col("largest"), F.col("all"))).alias("comparisons"), F.countDistinct("key").alias("nodes")).first()
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.filter("key <> center").select(F.greatest("key", "center").alias("a"), F.least("key", "center").alias("b")).distinct()
+
+    labels = materialize(connected_components(confirm(pairs_of(members))), "labels")
+    buckets = members.filter("members > 2").select("pos", "band", "key")
+    for turn in range(1, 7):
+        state = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        own = state.groupBy("pos", "band", "component").agg(F.count(F.lit(1)).alias("own"))
+        largest = own.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("own", "component")).alias("largest"), F.sum("own").alias("all"))
+        state = materialize(state.join(largest.filter("components > 1"), ["pos", "band"]), "open")
+        outside = state.filter("component <> largest")
+        counts = outside.agg(F.sum("all").alias("comparisons"), F.count(F.lit(1)).alias("outside")).first()
         if not counts["comparisons"]:
-            return found
-        if counts["comparisons"] <= 64 * counts["nodes"] or turn == 8:
+            return labels
+        if counts["comparisons"] <= DIRECT * counts["outside"] or turn == 6:
             break
-        outside = state.filter("component <> largest").groupBy("pos", "band").agg(F.min_by("key", F.xxhash64("key", "pos", F.lit(turn))).alias("center"), F.min_by("component", F.xxhash64("key", "pos", F.lit(turn))).alias("center_component"))
-        again = state.join(outside, ["pos", "band"]).filter("component <> center_component")
-        found = materialize(found.union(confirm(again.select(F.greatest("key", "center").alias("a"), F.least("key", "center").alias("b")).distinct())), "links")
+        # Some members of each bucket's largest component against those outside of it, drawn by hash in CENTERS groups.
+        group = F.pmod(F.xxhash64("key", "pos", F.lit(turn)), F.lit(CENTERS))
+        drawn = state.filter("component = largest").groupBy("pos", "band", group.alias("draw")).agg(F.min_by("key", F.xxhash64("key", F.lit(-turn))).alias("center")).drop("draw")
+        labels = joined_components(labels, confirm(pairs_of(outside.select("pos", "band", "key").join(drawn, ["pos", "band"]))))
     described = state.join(profile, "key")
     x = described.filter("component <> largest").select("pos", "band", F.col("key").alias("a"), F.col("component").alias("component_a"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"))
     y = described.select(F.col("pos").alias("pos_b"), F.col("band").alias("band_b"), F.col("key").alias("b"), F.col("component").alias("component_b"), F.col("largest").alias("largest_b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b"))
@@ -231,7 +231,7 @@ def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, percent: in
         & (equal_registers(F.col("bands_a"), F.col("bands_b")) >= REGISTERS * raw),
     )
     more = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return materialize(found.union(confirm(more)), "links")
+    return joined_components(labels, confirm(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -239,14 +239,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = materialize(signatures(docs, doc_id, text), "signatures")
     sets = signed.filter("n > 0")
     nodes = materialize(sets.groupBy("high", "low").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    found = links(docs, nodes, doc_id, text, percent)
-    # An id whose rows have different sets ties their nodes.
-    rows = sets.select("doc_id", "key", "high", "low")
+    labels = component_labels(docs, nodes, doc_id, text, percent)
     own = nodes.select("high", "low", F.col("key").alias("node"))
     placed = materialize(signed.select("doc_id", "key", "n", "high", "low").join(own, ["high", "low"], "left").select("doc_id", "key", "n", F.coalesce("node", "key").alias("node")), "placed")
-    same_id = placed.filter("node <> key").select(F.greatest("key", "node").alias("a"), F.least("key", "node").alias("b")).distinct()
-    several = rows.groupBy("key").agg(F.count_distinct("high", "low").alias("versions")).filter("versions > 1").select(F.col("key").alias("a"))
-    labels = materialize(connected_components(found.union(same_id.join(several, "a", "left_semi"))), "labels")
+    # An id whose rows have different sets ties their nodes.
+    several = placed.filter("n > 0").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b")
+    if several.limit(1).count():
+        ties = placed.join(several.select("key", "b"), "key").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+        labels = joined_components(labels, ties)
     joined = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     merged = joined.join(smallest, "component")
@@ -255,11 +255,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with their own columns; of rows that share an id, one."""
-    stay = materialize(near_duplicates(docs, doc_id, text, percent).filter("kept").select(F.col(doc_id).alias("stay_id")).distinct(), "stay")
-    kept = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("stay_id")), "left_semi").select(*docs.columns)
-    repeated = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col(doc_id).alias("again_id"))
+    stay = materialize(near_duplicates(docs, doc_id, text, percent).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct(), "stay")
+    kept = docs.join(stay, docs[doc_id].eqNullSafe(stay["stay_id"]), "left_semi")
+    repeated = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("again_rows")).filter("again_rows > 1").select(F.col(doc_id).alias("again_id"))
     repeated = small(materialize(repeated, "repeated"))
-    several = F.col(doc_id).eqNullSafe(F.col("again_id"))
+    if not repeated.limit(1).count():
+        return kept
+    several = kept[doc_id].eqNullSafe(repeated["again_id"])
     return kept.join(repeated, several, "left_anti").unionByName(kept.join(repeated, several, "left_semi").dropDuplicates([doc_id]))
 
 

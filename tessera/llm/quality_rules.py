@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import let, space_words
+from tessera.llm.words import let, packed, space_words
 from tessera.runtime import materialize, small, table
 
 WINDOW = 5
@@ -102,7 +102,8 @@ def with_verdicts(judged: DataFrame, host: str = "source", **options) -> DataFra
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
     """The documents that pass, with their own columns. Measures are computed once for hosts, once to filter."""
-    return with_verdicts(measures(docs, text), host, **options).filter("qr_kept").select(*docs.columns)
+    rows = packed(docs, "qr_row", text, host)
+    return with_verdicts(measures(rows, text), host, **options).filter("qr_kept").select("qr_row.*")
 
 
 def op5_quality_rules(spark, sf_dir):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import classifiers, decontamination, language, mixing, near_dups, quality_rules, token_files
+from tessera.llm import classifiers, decontamination, language, line_dedup, mixing, near_dups, quality_rules, token_files
 
 QUERIES = {
     "op6_toxicity": classifiers.op6_toxicity,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_near_dups": near_dups.op8_near_dups,
     "op9_quality_classifier": classifiers.op9_quality_classifier,
     "op1_token_files": token_files.op1_token_files,

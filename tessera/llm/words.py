@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
@@ -44,3 +44,8 @@ def let(value: Column, then) -> Column:
     function, where it would be computed anew for each element. A lambda's own variable cannot.
     """
     return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def packed(docs: DataFrame, name: str, *columns: str) -> DataFrame:
+    """All columns of `docs` as one struct, beside the columns named: whatever names they have, none clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name), *[F.col(c) for c in dict.fromkeys(columns)])
