@@ -7,6 +7,9 @@ similarity of 0.8 or more are links; of each connected group one occurrence stay
 
 Within a bucket all nodes are paired with one, drawn by hash; where a bucket still holds several components, the
 nodes outside its largest are compared with those of other components: no all-pairs, and no link of a bucket lost.
+The blocks find what differs by 3 bits, which is a small change of a long line; pairs of short lines at the edge of
+the edit similarity differ by more bits, and are found only if they share a bucket with a line between them.
+
 A line that every document has is counted before it is shuffled, and joined so that it can be split.
 
 Defined results: null texts and lines without a word have nothing to remove; rows that are equal in id and text are

@@ -9,7 +9,7 @@ share one of the 32 bands but for one pair in 20 millions.
 1. Documents with the same set (128-bit fingerprint) are one node from here on, however many they are.
 2. In each bucket of nodes that share a band, all are paired with one node drawn by hash, so pairs grow with the
    members of a bucket, not with their square. Each of the 32 bands draws anew.
-3. Pairs are kept if their collision-corrected Jaccard estimate is not below 0.8 by more than 4.5 standard
+3. Pairs are kept if their collision-corrected Jaccard estimate is not below 0.8 by more than 3.5 standard
    errors, and links are confirmed on the full sets, in integers. Components are then formed.
 4. In buckets that still hold nodes of several components, every node outside the bucket's largest component
    is compared with all nodes of other components, so no link within a bucket is left out. Before that, in large
@@ -42,9 +42,9 @@ from tessera.runtime import materialize, small, table
 REGISTERS, PER_BAND, MANTISSA = 128, 4, 10
 PERCENT = 80
 SHINGLE = 2
-LENIENCE = 4.5
-#: Nodes drawn from a bucket's largest component in a turn, and comparisons for each node outside it that are made at once.
-CENTERS, DIRECT = 8, 256
+LENIENCE = 3.5
+#: Nodes drawn from a bucket's largest component in a turn, and comparisons for each place in a bucket that are made at once.
+CENTERS, DIRECT = 2, 32
 
 _orders = np.stack([np.random.default_rng(1000 + j).permutation(REGISTERS) for j in range(REGISTERS)])
 
@@ -201,16 +201,17 @@ def component_labels(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str,
 
     labels = materialize(connected_components(confirm(pairs_of(members))), "labels")
     buckets = members.filter("members > 2").select("pos", "band", "key")
+    places = members.count()
     for turn in range(1, 7):
         state = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         own = state.groupBy("pos", "band", "component").agg(F.count(F.lit(1)).alias("own"))
         largest = own.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("own", "component")).alias("largest"), F.sum("own").alias("all"))
         state = materialize(state.join(largest.filter("components > 1"), ["pos", "band"]), "open")
         outside = state.filter("component <> largest")
-        counts = outside.agg(F.sum("all").alias("comparisons"), F.count(F.lit(1)).alias("outside")).first()
-        if not counts["comparisons"]:
+        comparisons = outside.agg(F.sum("all")).first()[0]
+        if not comparisons:
             return labels
-        if counts["comparisons"] <= DIRECT * counts["outside"] or turn == 6:
+        if comparisons <= DIRECT * places or turn == 6:
             break
         # Some members of each bucket's largest component against those outside of it, drawn by hash in CENTERS groups.
         group = F.pmod(F.xxhash64("key", "pos", F.lit(turn)), F.lit(CENTERS))
@@ -228,7 +229,9 @@ def component_labels(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str,
         & (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("largest_b")) | (F.col("a") < F.col("b")))
         & near_sizes(F.col("n_a"), F.col("n_b"), percent)
-        & (equal_registers(F.col("bands_a"), F.col("bands_b")) >= REGISTERS * raw),
+        & (equal_registers(F.col("bands_a"), F.col("bands_b")) >= REGISTERS * raw)
+        # In the first bucket that a pair shares, so that it is made once.
+        & ~F.exists(F.zip_with(F.slice("bands_a", F.lit(1), F.col("pos")), F.slice("bands_b", F.lit(1), F.col("pos")), lambda p, q: p == q), lambda e: e),
     )
     more = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return joined_components(labels, confirm(more))

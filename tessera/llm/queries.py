@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import classifiers, decontamination, language, line_dedup, mixing, near_dups, quality_rules, token_files
+from tessera.llm import classifiers, decontamination, language, licenses, line_dedup, mixing, near_dups, quality_rules, token_files
 
 QUERIES = {
     "op6_toxicity": classifiers.op6_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op8_near_dups": near_dups.op8_near_dups,
     "op9_quality_classifier": classifiers.op9_quality_classifier,
     "op1_token_files": token_files.op1_token_files,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_language_id": language.op3_language_id,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
