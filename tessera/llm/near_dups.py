@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, high, low, set (array of longs) of the documents whose fingerprint is wanted (key, high, low)."""
+    """key, set (array of longs) of the documents wanted (key, id: null for rows without one, high, low)."""
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, 1)):
@@ -119,7 +119,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: st
             yield pa.record_batch([batch.column(0), pa.array(high.copy()), pa.array(low.copy()), pa.array(sets, pa.list_(pa.int64()))], ["id", "high", "low", "set"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    named = small(wanted.filter("key >= 0 or id is not null").select("id").distinct(), 2_000_000)
+    named = small(wanted.filter("id is not null").select("id").distinct(), 2_000_000)
     rows = rows.join(named, "id", "left_semi").unionByName(rows.filter("id is null"))
     made = rows.mapInArrow(run, "id long, high long, low long, set array<long>")
     keyed = made.withColumn("key", F.coalesce("id", -1 - F.col("low").bitwiseAND(F.lit((1 << 62) - 1))))
@@ -181,12 +181,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def component_labels(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """node, component: of the nodes (key, n, high, low, bands) that are linked to another."""
+    """node, component: of the nodes (key, id, n, high, low, bands) that are linked to another."""
     banded = nodes.select("key", F.posexplode("bands").alias("pos", "band"))
     shared = banded.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("members"), F.min_by("key", F.xxhash64("key", "pos")).alias("center")).filter("members > 1")
     members = materialize(banded.join(shared, ["pos", "band"]), "members")
     linked_nodes = materialize(nodes.join(members.select("key").distinct(), "key", "left_semi"), "banded-nodes")
-    sets = materialize(sets_of(docs, linked_nodes.withColumn("id", F.when(F.col("key") >= 0, F.col("key"))), doc_id, text), "sets")
+    sets = materialize(sets_of(docs, linked_nodes, doc_id, text), "sets")
     profile = linked_nodes.select("key", "n", "bands")
 
     def side(name: str) -> DataFrame:
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id, kept: a row for each row of `docs`."""
     signed = materialize(signatures(docs, doc_id, text), "signatures")
     sets = signed.filter("n > 0")
-    nodes = materialize(sets.groupBy("high", "low").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(sets.groupBy("high", "low").agg(F.min("key").alias("key"), F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     labels = component_labels(docs, nodes, doc_id, text, percent)
     own = nodes.select("high", "low", F.col("key").alias("node"))
     placed = materialize(signed.select("doc_id", "key", "n", "high", "low").join(own, ["high", "low"], "left").select("doc_id", "key", "n", F.coalesce("node", "key").alias("node")), "placed")

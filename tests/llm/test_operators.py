@@ -239,6 +239,7 @@ def test_near_dups_chains(spark):
             text[at] = f"x{random.integers(0, 10**6)}"
         rows.append((k, " ".join(text)))
     rows += [(200 + k, "common pair " + f"t{k // 3} u{k % 2}") for k in range(60)] + [(300 + k, " ".join(base[:50])) for k in range(40)]
+    rows.append((-5, " ".join([*base[:60], "other", *base[61:]])))
     found = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
