@@ -1,14 +1,17 @@
 """Fuzzy line dedup (DataFrame functions only).
 
-Lines are normalised to their lower-cased words; equal lines are one node. Each node gets a 64-bit SimHash of its
-words, summed in packed counters by a plain aggregate. SimHashes within 3 bits of each other agree in at least two
-of five blocks (pigeonhole), so nodes are joined on the ten pairs of blocks. Pairs within 3 bits and with an edit
-similarity of 0.8 or more are links; of each connected group one occurrence stays, the first by document and line.
+Lines are normalised to their lower-cased words; equal lines are one node. Nodes share a bucket by either of:
+
+- the 64 smallest hashes of the line's character 5-grams, each in an order of its own (MinHash), in 32 bands of four;
+  lines of at most 30 characters have bands of three over 2-grams with both ends as well, as few 5-grams outlive an edit;
+- a 64-bit SimHash of its words, summed in packed counters by a plain aggregate, in ten pairs of five blocks.
+
+Pairs of a bucket with an edit similarity of 0.8 or more are links, however far their sketches are apart; of each
+connected group one occurrence stays, the first by document and line.
 
 Within a bucket all nodes are paired with one, drawn by hash; where a bucket still holds several components, the
-nodes outside its largest are compared with those of other components: no all-pairs, and no link of a bucket lost.
-The blocks find what differs by 3 bits, which is a small change of a long line; pairs of short lines at the edge of
-the edit similarity differ by more bits, and are found only if they share a bucket with a line between them.
+nodes outside its largest are compared with those of other components: no link of a bucket is lost. That is quadratic
+in a bucket of many lines that are not alike. Edits scattered over all of a long line leave few 5-grams: see README.
 
 A line that every document has is counted before it is shuffled, and joined so that it can be split.
 
@@ -19,6 +22,7 @@ one document; rows without an id come last in order; an empty table gives an emp
 from __future__ import annotations
 
 from itertools import combinations
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +31,20 @@ from tessera.llm.words import packed, plain_words
 from tessera.operators.components import connected_components, joined_components
 from tessera.runtime import materialize, table
 
-BITS, NEAR = 64, 3
+BITS = 64
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SIMILARITY = 0.8
 PER_COUNTER, WIDTH = 3, 21
+#: MinHashes of a line, and the gram size and hashes in a band of all lines and of short ones.
+HASHES, SHORT = 64, 30
+LONG_GRAM, LONG_BAND = 5, 4
+SHORT_GRAM, SHORT_BAND = 2, 3
+#: Times that the hashes are dealt into bands, each time in another order.
+DEALS = 2
+
+_random = Random(7)
+_masks = [_random.getrandbits(64) - (1 << 63) for _ in range(HASHES)]
+_deals = [_random.sample(range(HASHES), HASHES) for _ in range(DEALS)]
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,18 +86,50 @@ def block_keys(sim: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(n).cast("bigint"), 40).bitwiseOR(F.shiftleft(part(a), 20)).bitwiseOR(part(b)) for n, (a, b) in enumerate(pairs)])
 
 
+def minhash(lines: DataFrame) -> DataFrame:
+    """node, short, m0 .. m63 of (node, ld_line): the smallest hash of its grams in each of 64 orders (xor with a mask)."""
+
+    def grams(line: Column, size: int) -> Column:
+        # A look-ahead at each place, so that time grows with the line; what is shorter is a gram by itself.
+        return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+    line = F.col("ld_line")
+    both = lines.select("node", F.lit(False).alias("short"), F.explode(grams(line, LONG_GRAM)).alias("gram")).unionByName(
+        lines.filter(F.length(line) <= SHORT).select("node", F.lit(True).alias("short"), F.explode(grams(F.concat(F.lit("\n"), line, F.lit("\n")), SHORT_GRAM)).alias("gram"))
+    )
+    hashed = both.select("node", "short", F.xxhash64("gram").alias("h"))
+    return hashed.groupBy("node", "short").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(x).cast("bigint"))).alias(f"m{k}") for k, x in enumerate(_masks)])
+
+
+def band_keys() -> Column:
+    """A key for each band of the MinHashes m0 .. m63."""
+
+    def keys(size: int, first: int) -> Column:
+        bands = [deal[k : k + size] for deal in _deals for k in range(0, HASHES - size + 1, size)]
+        return F.array(*[F.xxhash64(F.lit(first + n), *[f"m{k}" for k in sorted(band)]) for n, band in enumerate(bands)])
+
+    return F.when(F.col("short"), keys(SHORT_BAND, 1000)).otherwise(keys(LONG_BAND, 0))
+
+
+def similar_lengths(a, b, similarity: float = SIMILARITY) -> Column:
+    """Lengths that allow the similarity at all."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
+
+
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> Column:
     """Edit similarity: 1 - distance / the longer length; lengths that rule it out come first."""
-    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    return (shorter >= similarity * longer) & (F.levenshtein(F.col(a), F.col(b)) <= (1 - similarity) * longer + 1e-9)
+    most = F.floor((1 - similarity) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
+    return similar_lengths(F.length(a), F.length(b), similarity) & (F.call_function("levenshtein", F.col(a), F.col(b), most) >= 0)
 
 
 def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, component: of the distinct lines (node, ld_line) that are linked to another."""
     lines = materialize(lines, "lines")
-    sims = materialize(simhash(lines), "simhash")
-    keyed = sims.select("node", "sim", F.explode(block_keys(F.col("sim"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by(F.struct("node", "sim"), F.xxhash64("node", "key")).alias("center")).filter("members > 1")
+    lengths = lines.select("node", F.length("ld_line").alias("n"))
+    blocks = simhash(lines).select("node", F.explode(block_keys(F.col("sim"))).alias("key"))
+    keyed = blocks.unionByName(minhash(lines).select("node", F.explode(band_keys()).alias("key")))
+    keyed = materialize(keyed.join(lengths, "node"), "line-keys")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("center")).filter("members > 1")
     members = materialize(keyed.join(shared, "key"), "line-buckets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -91,19 +137,16 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         right = lines.select(F.col("node").alias("b"), F.col("ld_line").alias("line_b"))
         return materialize(pairs.distinct().join(left, "a").join(right, "b").filter(similar("line_a", "line_b", similarity)).select("a", "b"), "line-links")
 
-    def close(x, y) -> Column:
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR
-
-    stars = members.filter((F.col("node") != F.col("center.node")) & close("sim", "center.sim"))
+    stars = members.filter((F.col("node") != F.col("center.node")) & similar_lengths("n", "center.n", similarity))
     labels = materialize(connected_components(confirm(stars.select(F.greatest("node", "center.node").alias("a"), F.least("node", "center.node").alias("b")))), "line-labels")
-    state = members.filter("members > 2").select("key", "node", "sim").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = members.filter("members > 2").select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
     largest = own.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("own", "component")).alias("largest")).filter("components > 1")
     state = materialize(state.join(largest, "key"), "line-open")
-    x = state.filter("component <> largest").select("key", F.col("node").alias("a"), F.col("sim").alias("sim_a"), F.col("component").alias("component_a"))
-    y = state.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("sim").alias("sim_b"), F.col("component").alias("component_b"), "largest")
+    x = state.filter("component <> largest").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
+    y = state.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), "largest")
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-    rest = x.join(y, (F.col("key") == F.col("key_b")) & apart & close("sim_a", "sim_b"))
+    rest = x.join(y, (F.col("key") == F.col("key_b")) & apart & similar_lengths("n_a", "n_b", similarity))
     return joined_components(labels, confirm(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
 
 

@@ -1,6 +1,7 @@
 """Fuzzy line dedup and license scans against plain Python on small tables."""
 
 import re
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,31 @@ def test_anchors_miss_nothing(spark):
                 if n and sum(v * y.get(w, 0) for w, v in x.items()) / n >= licenses.THRESHOLD:
                     expected.add(r.path)
     assert {r.ls_path for r in licenses.scan(docs).collect()} == expected
+
+
+def test_line_recall(spark):
+    """Links against the edit similarity of all pairs: one word of each line replaced, letters changed, and real lines."""
+    random, rows = Random(11), []
+    word = lambda: "".join(random.choice("etaoinshrdlucmfwypvbgk") for _ in range(random.randint(2, 9)))
+    words = [word() for _ in range(3000)]
+    for size in (5, 10, 20, 30, 60):
+        for _ in range(40):
+            a = random.choices(words, k=size)
+            b = [*a]
+            b[random.randrange(size)] = random.choice(words)
+            rows += [" ".join(a), " ".join(b)]
+    for _ in range(60):
+        a = "".join(random.choices(words, k=3))[: random.randint(5, 24)]
+        at = random.randrange(len(a))
+        rows += [a, a[:at] + "z" + a[at + 1 :]]
+    real = line_dedup.lines_of(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select("ld_line")
+    for texts in (spark.createDataFrame([(r,) for r in rows], "ld_line string"), real):
+        lines = texts.distinct().select(F.xxhash64("ld_line").alias("node"), "ld_line", F.length("ld_line").alias("n"))
+        a, b = (lines.select(*[F.col(c).alias(f"{c}_{x}") for c in lines.columns]) for x in "ab")
+        most = F.expr("cast(floor(greatest(n_a, n_b) * 0.2 + 1e-9) as int)")
+        near = a.join(F.broadcast(b), (F.col("node_a") < F.col("node_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))).filter(F.call_function("levenshtein", "ld_line_a", "ld_line_b", most) >= 0)
+        true = [(r.node_a, r.node_b) for r in near.select("node_a", "node_b").collect()]
+        label = {r.node: r.component for r in line_dedup.groups(lines.select("node", "ld_line")).collect()}
+        found = sum(x in label and label[x] == label.get(y) for x, y in true)
+        print("line recall", found, "of", len(true))
+        assert len(true) > 40 and found >= 0.98 * len(true)
