@@ -1,12 +1,14 @@
 """License scans (DataFrame functions only).
 
-Headers and licence files are compared with templates by sparse TF-IDF cosine, a line at a time; files without a
-license of their own inherit that of the nearest ancestor directory with a licence file.
+Headers and licence files are compared with templates by sparse TF-IDF cosine: each line, each paragraph (what stands
+between blank lines) and each file as a whole; files without a license of their own inherit that of the nearest
+ancestor directory with a licence file.
 
-Document frequencies are counted over all files, for the words of the templates; other words weigh as if found once.
-Of a template's words, the lightest that cannot reach the threshold by themselves are set aside (prefix filter):
-a line must hold one of the rest, so only lines that could match are weighed, and none that match are missed.
-A licence file is one whose matching line has at least half of its words, or that is named like one.
+Document frequencies are counted over all files: of the templates' words first, then of all other words of the passages
+that are weighed, so that a score depends on shares of files, not on their number. Of a template's words, the lightest
+that cannot reach the threshold by themselves are set aside (prefix filter): a passage must hold one of the rest, so
+only those that could match are weighed, and none that match are missed.
+A licence file is one whose matching passage has at least half of its words, or that is named like one.
 
 Inheritance explodes a path into its ancestors and joins them with the directories that have a license; depth bounds
 the rows of a path. Templates, their words and weights are bounded by the templates given.
@@ -55,7 +57,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     total = files.select(F.lit(1)).count()
     df = {r["w"]: r["df"] for r in seen if r["w"] is not None}
 
-    def idf(word: str | None) -> float:
+    def idf(word: str) -> float:
         return math.log((1 + total) / (1 + df.get(word, 0))) + 1e-9
 
     weights, anchors = [], set()
@@ -70,11 +72,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
                 anchors.add(w)
     key = F.array(*map(F.lit, sorted(anchors)))
     rows = files.select(F.col(path).alias("ls_path"), F.xxhash64(F.col(text)).alias("ls_hash"), F.col(text).alias("t"), let(plain_words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), F.arrays_overlap(w, key).alias("some"))).alias("own"))
-    lines = rows.filter("own.some").select("ls_path", "ls_hash", F.col("own.n").alias("size"), F.posexplode_outer(F.split("t", "\n")).alias("at", "line"))
+    passages = F.concat(F.split("t", "\n"), F.split("t", r"\n[\x20\x09-\x0D]*\n"), F.array("t"))
+    lines = rows.filter("own.some").select("ls_path", "ls_hash", F.col("own.n").alias("size"), F.posexplode_outer(passages).alias("at", "line"))
     worded = lines.select("ls_path", "ls_hash", "size", "at", plain_words(F.col("line")).alias("w")).filter(F.arrays_overlap("w", key)).distinct()
     heavy = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf(w))])
     by_word = worded.select("ls_path", "ls_hash", "size", "at", F.size("w").alias("length"), F.explode("w").alias("word")).groupBy("ls_path", "ls_hash", "size", "at", "length", "word").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = materialize(by_word.withColumn("x", F.col("tf") * F.coalesce(F.try_element_at(heavy, F.col("word")), F.lit(idf(None)))), "license-words")
+    by_word = materialize(by_word, "license-words")
+    others = small(materialize(by_word.filter(~F.array_contains(known, F.col("word"))).select("word").distinct(), "license-others"), 2_000_000)
+    # If others is broadcast, the optimizer moves the join below the counts; if not, fewer rows are joined.
+    counted = files.select(F.explode(F.array_distinct(plain_words(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(others, "word", "left_semi")
+    idfs = small(materialize(counted.select("word", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1e-9).alias("idf")), "license-idf"), 2_000_000)
+    weighed = materialize(by_word.join(idfs, "word", "left").withColumn("x", F.col("tf") * F.coalesce(F.try_element_at(heavy, F.col("word")), "idf")).drop("idf"), "license-weights")
     place = ["ls_path", "ls_hash", "size", "at", "length"]
     norms = weighed.groupBy(*place).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     table_ = F.broadcast(spark.createDataFrame([w[:3] for w in weights], "name string, word string, y double"))  # the templates' words

@@ -134,3 +134,22 @@ def test_line_recall(spark):
         found = sum(x in label and label[x] == label.get(y) for x, y in true)
         print("line recall", found, "of", len(true))
         assert len(true) > 40 and found >= 0.98 * len(true)
+
+
+@pytest.mark.parametrize("times", (1, 20))
+def test_common_words_weigh_little(spark, times):
+    """The same shares of files give the same licenses, however many files there are."""
+    common = "you may not use this file except in compliance"
+    rows = [(f"{k}", f"{common}\n{licenses.TEMPLATES['Apache-2.0']} {common}" if k % 10 == 0 else f"{common} {k}") for k in range(200 * times)]
+    found = licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert {r.ls_path for r in found} == {p for p, t in rows if "Apache" in t} and {r.license for r in found} == {"Apache-2.0"}
+    assert min(r.score for r in found) > 0.99
+
+
+def test_wrapped_notices(spark):
+    """A notice of several lines, as a paragraph and as a file of its own."""
+    words = licenses.TEMPLATES["BSD-3-Clause"].split(" ")
+    notice = "\n".join(" ".join(words[k : k + 3]) for k in range(0, len(words), 3))
+    rows = [("a/part.c", f"int main\n\n{notice}\n \nreturn nothing at all of any kind " + "x y z " * 60), ("b/whole.txt", notice.replace("\n", "\n\n")), *[(f"c/{k}", f"plain {k}") for k in range(50)]]
+    found = {r.ls_path: (r.license, r.is_file) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {"a/part.c": ("BSD-3-Clause", False), "b/whole.txt": ("BSD-3-Clause", True)}
