@@ -21,7 +21,7 @@ optimizer can split it. Every step is written to the shared folder.
 Defined results: texts that are null or have no word have no set and are linked with nothing; one word is the
 set of itself; documents under one id count as linked; rows without an id take part, their component is the
 smallest id in it, or null, and they are kept if no row of their component has an id; equal rows get equal
-results. Other columns are not read.
+results. Other columns are not read. Where a row has to stay (keep_one), a component without any id keeps one row.
 """
 
 from __future__ import annotations
@@ -237,14 +237,14 @@ def component_labels(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str,
     return joined_components(labels, confirm(more))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of `docs`."""
+def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """doc_id, n, high, low, component (a node), component_id, kept: a row for each row of `docs`."""
     signed = materialize(signatures(docs, doc_id, text), "signatures")
     sets = signed.filter("n > 0")
     nodes = materialize(sets.groupBy("high", "low").agg(F.min("key").alias("key"), F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     labels = component_labels(docs, nodes, doc_id, text, percent)
     own = nodes.select("high", "low", F.col("key").alias("node"))
-    placed = materialize(signed.select("doc_id", "key", "n", "high", "low").join(own, ["high", "low"], "left").select("doc_id", "key", "n", F.coalesce("node", "key").alias("node")), "placed")
+    placed = materialize(signed.select("doc_id", "key", "n", "high", "low").join(own, ["high", "low"], "left").select("doc_id", "key", "n", "high", "low", F.coalesce("node", "key").alias("node")), "placed")
     # An id whose rows have different sets ties their nodes.
     several = placed.filter("n > 0").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b")
     if several.limit(1).count():
@@ -253,19 +253,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     merged = joined.join(smallest, "component")
-    return merged.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return merged.select("doc_id", "n", "high", "low", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of `docs`."""
+    return placed_rows(docs, doc_id, text, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """text, n, high, low of (text)."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            found = list(shingle_sets(batch.column(0)))
+            high, low = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f.astype("<u8").tobytes()) for f in found), "<i8").reshape(-1, 2).T
+            yield pa.record_batch([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(high.copy()), pa.array(low.copy())], ["text", "n", "high", "low"])
+
+    return texts.mapInArrow(run, "text string, n long, high long, low long")
+
+
+def keep_without_id(bare: DataFrame, stay: DataFrame, text: str) -> DataFrame:
+    """Of the rows without an id: one of each component of `stay` (n, high, low, component), and all without a word."""
+    signed = materialize(fingerprints(bare.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct()), "bare")
+    chosen = signed.filter("n > 0").join(stay.filter("n > 0").select("high", "low", "component").distinct(), ["high", "low"]).groupBy("component").agg(F.min("text").alias("stay_text"))
+    chosen = materialize(chosen.select("stay_text"), "bare-stay")
+    one = bare.join(chosen, bare[text] == chosen["stay_text"], "left_semi").dropDuplicates([text])
+    wordless = signed.filter("n = 0").select(F.col("text").alias("stay_text"))
+    return one.unionByName(bare.filter(F.col(text).isNull())).unionByName(bare.join(wordless, bare[text] == wordless["stay_text"], "left_semi"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, with their own columns; of rows that share an id, one."""
-    stay = materialize(near_duplicates(docs, doc_id, text, percent).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct(), "stay")
-    kept = docs.join(stay, docs[doc_id].eqNullSafe(stay["stay_id"]), "left_semi")
-    repeated = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("again_rows")).filter("again_rows > 1").select(F.col(doc_id).alias("again_id"))
+    """The documents that stay, with their own columns; of rows that share an id, one; of a component without an id, one."""
+    rows = materialize(placed_rows(docs, doc_id, text, percent).filter("kept").select("doc_id", "n", "high", "low", "component").distinct(), "stay")
+    stay = rows.filter("doc_id is not null").select(F.col("doc_id").alias("stay_id")).distinct()
+    kept = docs.join(stay, docs[doc_id] == stay["stay_id"], "left_semi")
+    repeated = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count(F.lit(1)).alias("again_rows")).filter("again_rows > 1").select(F.col(doc_id).alias("again_id"))
     repeated = small(materialize(repeated, "repeated"))
-    if not repeated.limit(1).count():
-        return kept
-    several = kept[doc_id].eqNullSafe(repeated["again_id"])
-    return kept.join(repeated, several, "left_anti").unionByName(kept.join(repeated, several, "left_semi").dropDuplicates([doc_id]))
+    if repeated.limit(1).count():
+        several = kept[doc_id] == repeated["again_id"]
+        kept = kept.join(repeated, several, "left_anti").unionByName(kept.join(repeated, several, "left_semi").dropDuplicates([doc_id]))
+    bare = rows.filter("doc_id is null")
+    if bare.limit(1).count():
+        kept = kept.unionByName(keep_without_id(docs.filter(F.col(doc_id).isNull()), bare, text))
+    return kept
 
 
 def op8_near_dups(spark, sf_dir):

@@ -48,3 +48,16 @@ def test_empty(spark):
 def test_columns_stay(spark, k):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
     assert corpus_pipeline.STAGES[k][1](spark, docs, SMALL).columns == docs.columns
+
+
+def test_rows_without_id_stay(spark):
+    """Of each component without an id one row stays, whatever number of them there is; copies of a document go."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    near = texts["b"] + " more"
+    rows = [(1, texts["a"]), (None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, near), (None, texts["c"]), (None, texts["d"]), (None, None), (None, " "), (2, "own words only"), (2, "own words only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_dups.keep_one(docs).collect()]
+    b = [r for r in kept if r[1] in (texts["b"], near)]
+    assert len(b) == 1 and b[0][0] is None
+    rest = [(1, texts["a"]), (None, texts["c"]), (None, texts["d"]), (None, None), (None, " "), (2, "own words only")]
+    assert sorted((r for r in kept if r not in b), key=str) == sorted(rest, key=str)
