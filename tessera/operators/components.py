@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialize
+from tessera.runtime import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u > v").distinct()
     pairs = materialize(pairs, "edges")
     for _ in range(max_rounds):
-        pairs = materialize(_small_star(_large_star(pairs)), "stars")
+        before, pairs = pairs, materialize(_small_star(_large_star(pairs)), "stars")
+        release(before)
         # Done when no node that others are tied to is tied to another itself.
         if not pairs.select("v").distinct().join(pairs.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
@@ -52,4 +53,6 @@ def joined_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str
     merged = materialize(connected_components(tied), "merged")
     moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
     old = labels.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    return materialize(old.union(merged.select("node", "component")).distinct(), "labels")
+    out = materialize(old.union(merged.select("node", "component")).distinct(), "labels")
+    release(merged)
+    return out

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; the path may be of any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,15 +42,62 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write `frame` as Parquet in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs the tasks it was running, never what is written.
+    It cuts the lineage: a lost executor costs the tasks it was running, never what is written. The shuffle files
+    of the write go as soon as it ends; nothing reads them again.
     """
     spark = frame.sparkSession
     path = scratch(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(frame.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables that materialize wrote for `frames`: for steps whose successors are written themselves.
+
+    Frames of another make are left alone. Nothing that is still to run may read a released table.
+    """
+    for frame in frames:
+        path = _written.pop(frame, None)
+        if path:
+            jvm = frame.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def _trimmed(run: Callable) -> Callable:
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of the C library of Linux alone
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def map_arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """frame.mapInArrow, in batches of at most ARROW_ROWS rows: a worker and its JVM hold few texts at a time.
+
+    The setting is the session's, as a plan is made only when it runs; a lower one stays. A worker gives its memory
+    back at the end of a task, for it may idle beside others.
+    """
+    conf = frame.sparkSession.conf
+    if int(conf.get(_ARROW_ROWS)) > ARROW_ROWS:
+        conf.set(_ARROW_ROWS, str(ARROW_ROWS))
+    return frame.mapInArrow(_trimmed(run), schema)
 
 
 def small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
