@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.token_files import slices
-from tessera.runtime import table
+from tessera.runtime import map_arrow, table
 
 BITS = 20
 SAME_AGAIN = 0
@@ -90,7 +90,7 @@ def training_features(rows: DataFrame, features: Callable) -> pa.Table:
                 ["y", "buckets", "counts", "n"],
             )
 
-    return rows.mapInArrow(pack, "y int, buckets binary, counts binary, n double").toArrow()
+    return map_arrow(rows, pack, "y int, buckets binary, counts binary, n double").toArrow()
 
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], doc_id: str
         for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.record_batch([batch.column(0), pa.array(score(batch.column(1)))], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, score double")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

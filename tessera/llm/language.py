@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm import hashing
 from tessera.llm.classifiers import within
 from tessera.llm.token_files import slices
-from tessera.runtime import table
+from tessera.runtime import map_arrow, table
 
 BITS = 16
 SIZES = (2, 3, 4)
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, learnable: Column, bound: int = 6000, lang: str = "lang
             packed = [((keys[i:j] & 0xFFFF).astype("<u2").tobytes(), counts[i:j].astype("<u4").tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([batch.column(1), pa.array([b for b, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], ["lang", "buckets", "counts"])
 
-    found = rows.mapInArrow(pack, "lang string, buckets binary, counts binary").toArrow().to_pydict()
+    found = map_arrow(rows, pack, "lang string, buckets binary, counts binary").toArrow().to_pydict()
     names = sorted(set(found["lang"]))
     y = np.array([names.index(x) for x in found["lang"]], int)
     shares = []
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
             )
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), letters.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), letters.alias("letters")), run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op3_language_id(spark, sf_dir):

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import scratch, small, table
+from tessera.runtime import map_arrow, scratch, small, table
 
 END_ID = 2
 SHARD_BYTES = 32_000_000
@@ -233,7 +233,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", t
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    made = dealt.mapInArrow(shards, "shard binary")
+    made = map_arrow(dealt, shards, "shard binary")
     (
         made.select(F.col("shard").cast("string").alias("value"))
         .write.option("maxRecordsPerFile", 1)
@@ -252,7 +252,7 @@ def read(spark, path: str, visit, schema: str) -> DataFrame:
                 yield from visit(name.rsplit("/", 1)[-1], ShardReader(pa.BufferReader(content.as_buffer())))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(each, schema)
+    return map_arrow(files.select("path", "content"), each, schema)
 
 
 def read_documents(spark, path: str, wanted: Iterable[int]) -> DataFrame:

@@ -196,11 +196,11 @@ def test_targets_like_resharing(spark):
 # ---- near duplicates
 
 
-def brute_components(rows):
+def brute_components(rows, size=2):
     sets = []
     for _, text in rows:
         w = SPACE.findall(lowered(text))
-        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
     label = list(range(len(rows)))
 
     def find(i):
@@ -222,9 +222,9 @@ def brute_components(rows):
 
 def test_near_dups_odd(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    found = near_dups.near_duplicates(odd).collect()
+    found = near_dups.near_duplicates(odd, size=2).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows)
-    kept = [r.doc_id for r in near_dups.keep_one(odd).collect()]
+    kept = [r.doc_id for r in near_dups.keep_one(odd, size=2).collect()]
     assert kept.count(6) == 1 and 7 not in kept and 8 not in kept and {0, 1, 2, 3, 5}.issubset(kept) and 4 not in kept
     assert near_dups.near_duplicates(odd.filter("doc_id > 99")).count() == 0
 
@@ -240,7 +240,7 @@ def test_near_dups_chains(spark):
         rows.append((k, " ".join(text)))
     rows += [(200 + k, "common pair " + f"t{k // 3} u{k % 2}") for k in range(60)] + [(300 + k, " ".join(base[:50])) for k in range(40)]
     rows.append((-5, " ".join([*base[:60], "other", *base[61:]])))
-    found = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 

@@ -22,7 +22,7 @@ def test_run(spark):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     good = {r.doc_id for r in quality_rules.with_verdicts(quality_rules.measures(docs)).filter("qr_kept").collect()}
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if r.doc_id in good]
-    one = {d for d, _, c in brute_components(rows) if d == c}
+    one = {d for d, _, c in brute_components(rows, 5) if d == c}
     clean = {r.dc_id for r in decontamination.find_hits(docs, bench).filter("size(dc_spans) = 0").collect()}
     left = docs.filter(docs.doc_id.isin([d for d in one if d in clean]))
     copies = {r.doc_id: r.mix_copies for r in mixing.plan_copies(left).collect()}
