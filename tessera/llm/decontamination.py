@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import let, plain_words
+from tessera.llm.words import let, packed, plain_words
 from tessera.runtime import materialize, table
 
 N = 10
@@ -117,14 +117,14 @@ def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """All documents, with the words hit cut out of their text; what separates words stays with the word after it."""
     bad = materialize(find_hits(docs, items, doc_id, text, **options).filter(F.size("dc_spans") > 0).select(*KEY, "dc_spans").dropDuplicates(list(KEY)), "spans")
     same = [a.eqNullSafe(bad[b]) for a, b in zip((F.col(doc_id), F.xxhash64(F.col(text)), F.coalesce(F.octet_length(text), F.lit(-1))), KEY, strict=True)]
-    joined = docs.join(bad, same[0] & same[1] & same[2], "left")
+    joined = packed(docs, "dc_row", doc_id, text).join(bad, same[0] & same[1] & same[2], "left")
     mark, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     # Capitals are letters here: the text is not lowered, so that what stays is as it was.
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"({mark}*{word}+)"), F.lit(1))
     tail = F.regexp_extract(F.col(text), f"({mark}*)$", 1)
     left = F.filter(pieces, lambda x, i: ~F.exists("dc_spans", lambda s: (s["start"] <= i + 1) & (i + 1 < s["end"])))
     cleaned = F.when(F.col("dc_spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(left, ""), tail))
-    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"dc_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_decontamination(spark, sf_dir):

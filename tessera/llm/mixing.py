@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.words import count_words, packed
+from tessera.llm.words import count_words, packed, unpacked
 from tessera.runtime import materialize, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -66,13 +66,18 @@ def plan_copies(
     max_repeat: float = MAX_REPEAT,
     seed: int = 0,
 ) -> DataFrame:
-    """`docs` with mix_size, mix_source_size, mix_target and mix_copies, the times that each is emitted."""
+    """`docs` with mix_size, mix_source_size, mix_target and mix_copies, the times that each is emitted.
+
+    Columns of `docs` by these four names give way to them.
+    """
     sizes = docs.groupBy(F.col(source).alias("mix_source")).agg(F.sum(count_words(F.col(text))).alias("mix_source_size"))
     per_source = small(materialize(targets(sizes, weights, share, max_repeat), "targets"))
-    joined = docs.join(per_source, F.col(source).eqNullSafe(per_source["mix_source"])).drop("mix_source")
+    rows = packed(docs, "mix_row", doc_id, text, source)
+    joined = rows.join(per_source, rows[source].eqNullSafe(per_source["mix_source"]))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    extra = draw(F.col(doc_id), F.col(text), seed) < rate - F.floor(rate)
-    return joined.select("*", count_words(F.col(text)).alias("mix_size"), (F.floor(rate) + extra.cast("long")).alias("mix_copies"))
+    extra = draw(rows[doc_id], rows[text], seed) < rate - F.floor(rate)
+    made = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return joined.select(*unpacked("mix_row", docs.columns, *made), count_words(rows[text]).alias(made[0]), *made[1:3], (F.floor(rate) + extra.cast("long")).alias(made[3]))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import let, packed, space_words
+from tessera.llm.words import let, packed, space_words, unpacked
 from tessera.runtime import materialize, small, table
 
 WINDOW = 5
@@ -55,15 +55,17 @@ def _covered(hashes: Column, window: int) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the measures that rules use, each named qr_..., and qr_base_failed."""
+    """`docs` with the measures that rules use, each named qr_..., and qr_base_failed; columns by these names give way."""
+    names = ("qr_n_words", "qr_word_chars", "qr_n_symbols", "qr_n_dup_lines", "qr_n_repeat_words", "qr_base_failed")
     content = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(HAS_WORD))
     by_words = let(
         space_words(content),
         lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("again")),
     )
-    frame = docs.withColumn("qr_words", by_words).select(
-        *docs.columns,
+    rows = packed(docs, "qr_row", text).withColumn("qr_words", by_words)
+    frame = rows.select(
+        *unpacked("qr_row", docs.columns, *names),
         F.col("qr_words.n").alias("qr_n_words"),
         F.col("qr_words.chars").alias("qr_word_chars"),
         F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("qr_n_symbols"),
@@ -94,10 +96,12 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "qr_bas
 
 
 def with_verdicts(judged: DataFrame, host: str = "source", **options) -> DataFrame:
-    """`judged` with qr_host_rate and qr_kept."""
+    """`judged` with qr_host_rate and qr_kept; columns by these names give way."""
     verdicts = small(host_verdicts(judged, host, **options).select("qr_host", "qr_host_rate", "qr_host_ok"))
-    joined = judged.join(verdicts, F.col(host).eqNullSafe(verdicts["qr_host"]), "left").drop("qr_host")
-    return joined.withColumn("qr_kept", ~F.col("qr_base_failed") & F.col("qr_host_ok")).drop("qr_host_ok")
+    rows = packed(judged, "qr_row", host)
+    joined = rows.join(verdicts, rows[host].eqNullSafe(verdicts["qr_host"]), "left")
+    kept = ~F.col("qr_row.qr_base_failed") & F.col("qr_host_ok")
+    return joined.select(*unpacked("qr_row", judged.columns, "qr_host_rate", "qr_kept"), "qr_host_rate", kept.alias("qr_kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:

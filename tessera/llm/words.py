@@ -46,6 +46,11 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def unpacked(name: str, columns: list[str], *but: str) -> list[Column]:
+    """The columns of a struct made by packed, without those named in `but`, which give way to others."""
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns if c not in but]
+
+
 def packed(docs: DataFrame, name: str, *columns: str) -> DataFrame:
     """All columns of `docs` as one struct, beside the columns named: whatever names they have, none clashes."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name), *[F.col(c) for c in dict.fromkeys(columns)])

@@ -14,7 +14,7 @@ from tessera.llm import classifiers, decontamination, hashing, language, mixing,
 from tessera.llm.queries import ORACLES, QUERIES
 from tests.oracle import SMALL, compare
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, mix_copies long, qr_n_words long, dc_id string, stay_id long, bands string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, mix_copies long, qr_n_words long, dc_id string, stay_id long, bands string, dc_spans string, mix_source int, qr_host int, qr_words string, qr_row int, component int"
 SPACE = re.compile(r"[^ \t-\r]+")
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu"
 
@@ -30,8 +30,8 @@ def odd(spark):
         0: None, 1: "", 2: " \t\n", 3: "one", 4: "one", 5: "ONE two", 6: body, 7: body.upper(), 8: body.replace("w30", "changed"), 9: body + " " + PASSAGE, 10: "é ß 中文 😀 don't <|endoftext|>\x1c\x85 x",
         11: "same line\nsame line\n\nsame line ", 12: "la " * 40, 13: "Alpha-BETA, gamma! delta epsilon zeta eta theta iota kappa", 14: "w" * 5000, 15: " ".join(f"v{i % 997}" for i in range(30000)), 16: "short item here and more words to make it pass ten",
     }
-    rows = [(i, t, "en" if i % 2 else None, "hot" if i % 3 else None, len(t or ""), 0.5, True, 9, 9, "x", 1, "b") for i, t in texts.items()]
-    rows += [rows[6], rows[6], (None, body, None, None, None, None, None, None, None, None, None, None), (None, None, *[None] * 10)]
+    rows = [(i, t, "en" if i % 2 else None, "hot" if i % 3 else None, len(t or ""), 0.5, True, 9, 9, "x", 1, "b", "s", 5, 6, "w", 7, 8) for i, t in texts.items()]
+    rows += [rows[6], rows[6], (None, body, *[None] * 16), (None, None, *[None] * 16)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -124,6 +124,7 @@ def test_decontamination_blocks_and_removal(odd, bench):
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 5, 10, 11, 12, 14, 15, None}
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(odd, bench).collect()}
     assert cut[13] == "" and cut[16] == " and more words to make it pass ten" and cut[3] == "one"
+    assert decontamination.remove_spans(odd, bench).select("dc_spans").distinct().count() == 2  # the table's own, and null
     assert decontamination.find_hits(odd, bench.filter("item_id > 99")).filter("size(dc_spans) > 0").count() == 0
     assert decontamination.find_hits(odd.filter("doc_id > 99"), bench).count() == 0
 
@@ -144,6 +145,12 @@ def test_quality_measures(odd):
         assert own[:5] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
 
 
+def test_quality_columns(odd):
+    judged = quality_rules.with_verdicts(quality_rules.measures(odd))
+    assert sorted(judged.columns) == sorted({*odd.columns, "qr_n_words", "qr_word_chars", "qr_n_symbols", "qr_n_dup_lines", "qr_n_repeat_words", "qr_base_failed", "qr_host_rate", "qr_kept"})
+    assert {(r.qr_host, r.qr_words, r.qr_row) for r in judged.collect()} == {(6, "w", 7), (None, None, None)}
+
+
 def test_quality_hosts(spark):
     good, bad = " ".join(f"w{i}" for i in range(20)), "few words"
     rows = [(i, good if i % 10 else bad, "fine") for i in range(200)] + [(1000 + i, bad if i % 10 else good, "poor") for i in range(200)] + [(2000, good, "tiny"), (2001, bad, None)]
@@ -162,16 +169,17 @@ def test_stages_keep_columns(odd):
 
 
 def test_mixing(spark, odd):
-    rows = mixing.plan_copies(odd.drop("mix_copies", "bands")).collect()
+    rows = mixing.plan_copies(odd).collect()
+    assert {r.mix_source for r in rows} == {5, None}
     assert len(rows) == odd.count()
     for r in rows:
         assert r.mix_size == len(SPACE.findall(r.text or "")) and 0 <= r.mix_copies <= 2
-    again = mixing.plan_copies(odd.drop("mix_copies", "bands").repartition(5)).collect()
+    again = mixing.plan_copies(odd.repartition(5)).collect()
     assert collections.Counter(map(str, rows)) == collections.Counter(map(str, again))
     many = spark.range(6000).select("id", F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"), F.repeat(F.lit("word "), (F.col("id") % 9 + 1).cast("int")).alias("text")).withColumnRenamed("id", "doc_id")
     for r in mixing.plan_copies(many).groupBy("source").agg(F.first("mix_target").alias("t"), F.first("mix_source_size").alias("n"), F.sum(F.col("mix_size") * F.col("mix_copies")).alias("got")).collect():
         assert r.got == pytest.approx(r.t, rel=0.05) and r.t <= 2 * r.n + 1e-6
-    assert mixing.plan_copies(odd.drop("mix_copies", "bands").filter("doc_id > 99")).count() == 0
+    assert mixing.plan_copies(odd.filter("doc_id > 99")).count() == 0
 
 
 def test_targets_like_resharing(spark):
