@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ARROW_ROWS = 1000
+ARROW_ROWS = 2000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
