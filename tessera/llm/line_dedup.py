@@ -1,19 +1,22 @@
 """Fuzzy line dedup (DataFrame functions only).
 
-Lines are normalised to their lower-cased words; equal lines are one node. Nodes share a bucket by either of:
-
-- the 64 smallest hashes of the line's character 5-grams, each in an order of its own (MinHash), in 32 bands of four;
-  lines of at most 30 characters have bands of three over 2-grams with both ends as well, as few 5-grams outlive an edit;
-- a 64-bit SimHash of its words, summed in packed counters by a plain aggregate, in ten pairs of five blocks.
-
-Pairs of a bucket with an edit similarity of 0.8 or more are links, however far their sketches are apart; of each
-connected group one occurrence stays, the first by document and line.
-
-Within a bucket all nodes are paired with one, drawn by hash; where a bucket still holds several components, the
-nodes outside its largest are compared with those of other components: no link of a bucket is lost. That is quadratic
-in a bucket of many lines that are not alike. Edits scattered over all of a long line leave few 5-grams: see README.
-
-A line that every document has is counted before it is shuffled, and joined so that it can be split.
+Lines are normalised to their lower-cased words; equal lines are one node. A node's SimHash has six blocks of 15 bits;
+each word counts in one block alone, chosen by its hash, so a word that is changed, added or left out touches two
+blocks at most and leaves the others as they are. Nodes share a bucket if two of the six blocks are equal (15 pairs of
+blocks, with the number of words in each): by the pigeonhole principle all lines that differ in at most two words, for
+every place where they do, and most that differ in three. Blocks that hold too few words to tell lines apart make no key.
+So short lines have other keys as well: those of at most SHORT characters a SimHash of character pairs, as one letter is
+much of their words, and those of at most FEW words the line without each word that is short enough to be an edit.
+
+Pairs of a bucket with an edit similarity of 0.8 or more are links: 1 - distance / the longer length, in characters if
+both lines have at most FEW words, else in words, so that a text of 20,000 words without a line break is compared as
+well. Lengths and bitmaps of words, which bound the distance, come first. Of each connected group one occurrence stays,
+the first by document and line. Within a bucket all nodes are paired with one, drawn by hash; where a bucket still holds
+several components, the nodes outside its largest are compared with those of other components: no link of a bucket is
+lost. That is quadratic in a bucket of many lines that share a third of their words, but are not alike.
+
+Texts are normalised once and written as lines. A line that every document has is counted before it is shuffled, and
+joined so that it can be split. Candidate keys are a long each; only those that several nodes have are looked up again.
 
 Defined results: null texts and lines without a word have nothing to remove; rows that are equal in id and text are
 one document; rows without an id come last in order; an empty table gives an empty result. Other columns pass through.
@@ -22,143 +25,204 @@ one document; rows without an id come last in order; an empty table gives an emp
 from __future__ import annotations
 
 from itertools import combinations
-from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import packed, plain_words
+from tessera.llm.words import let, packed
 from tessera.operators.components import connected_components, joined_components
-from tessera.runtime import materialize, table
+from tessera.runtime import materialize, release, small, table
 
-BITS = 64
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SIMILARITY = 0.8
-PER_COUNTER, WIDTH = 3, 21
-#: MinHashes of a line, and the gram size and hashes in a band of all lines and of short ones.
-HASHES, SHORT = 64, 30
-LONG_GRAM, LONG_BAND = 5, 4
-SHORT_GRAM, SHORT_BAND = 2, 3
-#: Times that the hashes are dealt into bands, each time in another order.
-DEALS = 2
-
-_random = Random(7)
-_masks = [_random.getrandbits(64) - (1 << 63) for _ in range(HASHES)]
-_deals = [_random.sample(range(HASHES), HASHES) for _ in range(DEALS)]
+#: Blocks of a SimHash and bits in each; three counters of WIDTH bits are summed in one long.
+BLOCKS, BITS, PER_COUNTER, WIDTH = 6, 15, 3, 21
+#: Characters of lines that have a SimHash of character pairs as well, and words of those with keys that leave a word out.
+SHORT, FEW = 80, 12
+#: Features that two blocks must hold for a key, by kind of feature: words and character pairs.
+LEAST = {"w": 3, "c": 3}
+#: Bits of the bitmap of a line's words, in longs of 64.
+MAP = 256
+#: Keys or nodes that are broadcast at most.
+KEYS = 500_000
+#: What parts words: all in ASCII but letters, digits and line feeds. Texts are lower-cased first.
+MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """ld_id, ld_hash, ld_at (from 0), ld_line (normalised), node: the lines with a word."""
-    rows = docs.select(F.col(doc_id).alias("ld_id"), F.xxhash64(F.col(text)).alias("ld_hash"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("ld_at", "raw"))
-    made = rows.select("ld_id", "ld_hash", "ld_at", F.array_join(plain_words(F.col("raw")), " ").alias("ld_line")).filter("ld_line <> ''")
+    plain = F.regexp_replace(F.lower(F.col(text)), MARKS, " ")
+    rows = docs.select(F.col(doc_id).alias("ld_id"), F.xxhash64(F.col(text)).alias("ld_hash"), F.posexplode(F.split(plain, "\n")).alias("ld_at", "raw"))
+    made = rows.select("ld_id", "ld_hash", "ld_at", F.trim("raw").alias("ld_line")).filter("ld_line <> ''")
     return made.withColumn("node", F.xxhash64("ld_line"))
 
 
-def simhash(lines: DataFrame) -> DataFrame:
-    """node, sim of (node, ld_line): bit k is set if it is set in the hashes of more than half of the words."""
-    words = lines.select("node", F.explode(F.split("ld_line", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
+def simhash(features: DataFrame) -> DataFrame:
+    """node, sim (an array: the bits of each block), counts (an array: its features) of (node, h: a feature's hash).
+
+    Bit k of a block is set if it is set in more than half of the block's features. Sums that overflow are null.
+    """
     one = F.lit(1).cast("bigint")
-    counters = []
+    block = F.pmod(F.shiftrightunsigned("h", BITS), F.lit(BLOCKS)).cast("int")
+    packs = []
     for g in range(0, BITS, PER_COUNTER):
-        bits = [F.shiftleft(F.shiftrightunsigned("h", k).bitwiseAND(one), WIDTH * (k - g)) for k in range(g, min(g + PER_COUNTER, BITS))]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        counters.append(F.sum(total).alias(f"c{g}"))
-    summed = words.groupBy("node").agg(F.count(F.lit(1)).alias("words"), *counters)
-    mask = (1 << WIDTH) - 1
-    value = F.lit(0).cast("bigint")
-    for k in range(BITS):
-        g = k - k % PER_COUNTER
-        ones = F.shiftrightunsigned(f"c{g}", WIDTH * (k - g)).bitwiseAND(F.lit(mask).cast("bigint"))
-        bit = F.lit((1 << k) if k < 63 else -(1 << 63)).cast("bigint")
-        value = value.bitwiseOR(F.when(2 * ones > F.col("words"), bit).otherwise(F.lit(0).cast("bigint")))
-    return summed.select("node", value.alias("sim"))
+        total = F.lit(0).cast("bigint")
+        for k in range(g, g + PER_COUNTER):
+            total = total.bitwiseOR(F.shiftleft(F.shiftrightunsigned("h", k).bitwiseAND(one), WIDTH * (k - g)))
+        packs.append(total.alias(f"p{g}"))
+    spread = features.select("node", block.alias("block"), *packs)
+    zero = F.lit(0).cast("bigint")
+    sums = [F.try_sum(F.when(F.col("block") == b, F.col(f"p{g}")).otherwise(zero)).alias(f"c{b}_{g}") for b in range(BLOCKS) for g in range(0, BITS, PER_COUNTER)]
+    sizes = [F.sum((F.col("block") == b).cast("bigint")).alias(f"n{b}") for b in range(BLOCKS)]
+    summed = spread.groupBy("node").agg(*sizes, *sums)
+    mask = F.lit((1 << WIDTH) - 1).cast("bigint")
+
+    def bits(b: int) -> Column:
+        value = zero
+        for k in range(BITS):
+            g = k - k % PER_COUNTER
+            ones = F.shiftrightunsigned(f"c{b}_{g}", WIDTH * (k - g)).bitwiseAND(mask)
+            value = value.bitwiseOR(F.shiftleft((2 * ones > F.col(f"n{b}")).cast("bigint"), k))
+        return value
+
+    return summed.select("node", F.array(*map(bits, range(BLOCKS))).alias("sim"), F.array(*[F.col(f"n{b}") for b in range(BLOCKS)]).alias("counts"))
+
+
+def block_keys(kind: str) -> Column:
+    """A key for each pair of blocks with enough features: of the pair, both blocks' bits and sizes."""
+    keys = []
+    for n, (x, y) in enumerate(combinations(range(BLOCKS), 2)):
+        parts = [F.get(c, F.lit(k)) for c in ("sim", "counts") for k in (x, y)]
+        some = (parts[2] + parts[3] >= LEAST[kind]) & parts[0].isNotNull() & parts[1].isNotNull()
+        keys.append(F.when(some, F.xxhash64(F.lit(f"{kind}{n}"), *parts)))
+    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+
+
+def word_keys(line: str) -> Column:
+    """Of lines of FEW words or fewer: a key of the line, and of the line without each word of up to a third of it."""
+
+    def without(w: Column) -> Column:
+        def left(x: Column, i: Column) -> Column:
+            rest = F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.lit(FEW)))
+            return F.when((3 * F.length(x) <= F.length(line)) & (F.size(w) > 1), F.xxhash64(F.lit("d"), F.array_join(rest, " ")))
+
+        return F.array_distinct(F.concat(F.array(F.xxhash64(F.lit("d"), line)), F.filter(F.transform(w, left), lambda k: k.isNotNull())))
+
+    words = F.split(line, " ")
+    return F.when(F.size(words) <= FEW, let(words, without)).otherwise(F.array().cast("array<bigint>"))
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """node, kind (w: words, c: character pairs), sim, counts: SimHashes of distinct lines (node, ld_line)."""
+    words = lines.select("node", F.explode(F.split("ld_line", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
+    edged = F.concat(F.lit(" "), "ld_line", F.lit(" "))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2)))
+    grams = lines.filter(F.length("ld_line") <= SHORT).select("node", F.explode(pairs).alias("gram")).select("node", F.xxhash64("gram").alias("h"))
+    return simhash(words).withColumn("kind", F.lit("w")).unionByName(simhash(grams).withColumn("kind", F.lit("c")))
 
 
-def block_keys(sim: Column) -> Column:
-    """Ten keys: the number of a pair of blocks, and both blocks' bits."""
-    def part(k):
-        at, size = BLOCKS[k]
-        return F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
+def keys_of(lines: DataFrame, sketched: DataFrame) -> DataFrame:
+    """key, node: the bucket keys of lines, from their sketches and, of short ones, their words."""
+    keys = F.when(F.col("kind") == "w", block_keys("w")).otherwise(block_keys("c"))
+    short = lines.filter(F.regexp_count("ld_line", F.lit(" ")) < FEW).select("node", "ld_line").distinct()
+    return sketched.select("node", F.explode(keys).alias("key")).unionByName(short.select("node", F.explode(word_keys("ld_line")).alias("key")))
 
-    pairs = combinations(range(len(BLOCKS)), 2)
-    return F.array(*[F.shiftleft(F.lit(n).cast("bigint"), 40).bitwiseOR(F.shiftleft(part(a), 20)).bitwiseOR(part(b)) for n, (a, b) in enumerate(pairs)])
 
+def described(lines: DataFrame) -> DataFrame:
+    """node, n, words, line (null beyond FEW words), signs, map0 .. map3 of distinct (node, ld_line).
 
-def minhash(lines: DataFrame) -> DataFrame:
-    """node, short, m0 .. m63 of (node, ld_line): the smallest hash of its grams in each of 64 orders (xor with a mask)."""
+    In signs, each word is one of 2^15 characters, by its hash: what bounded edit distance takes for letters.
+    """
+    words = F.split("ld_line", " ")
+    codes = F.transform(words, lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF).cast("bigint"))), 4, "0"))
+    signs = F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+    sizes = lines.select("node", F.length("ld_line").alias("n"), F.size(words).alias("words"), F.when(F.size(words) <= FEW, F.col("ld_line")).alias("line"), signs.alias("signs"))
+    each = lines.select("node", F.explode(words).alias("word")).select("node", F.pmod(F.xxhash64("word"), F.lit(MAP)).cast("int").alias("bit"))
+    zero = F.lit(0).cast("bigint")
+    bits = [F.bit_or(F.when(F.shiftright("bit", 6) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)).otherwise(zero)).alias(f"map{k}") for k in range(MAP // 64)]
+    return sizes.join(each.groupBy("node").agg(*bits), "node")
 
-    def grams(line: Column, size: int) -> Column:
-        # A look-ahead at each place, so that time grows with the line; what is shorter is a gram by itself.
-        return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
-    line = F.col("ld_line")
-    both = lines.select("node", F.lit(False).alias("short"), F.explode(grams(line, LONG_GRAM)).alias("gram")).unionByName(
-        lines.filter(F.length(line) <= SHORT).select("node", F.lit(True).alias("short"), F.explode(grams(F.concat(F.lit("\n"), line, F.lit("\n")), SHORT_GRAM)).alias("gram"))
-    )
-    hashed = both.select("node", "short", F.xxhash64("gram").alias("h"))
-    return hashed.groupBy("node", "short").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(x).cast("bigint"))).alias(f"m{k}") for k, x in enumerate(_masks)])
+def similar_lengths(a, b, similarity: float = SIMILARITY) -> Column:
+    """Lengths that allow the similarity at all."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def band_keys() -> Column:
-    """A key for each band of the MinHashes m0 .. m63."""
+def edits(size: Column, similarity: float = SIMILARITY) -> Column:
+    """The most edits that a line of this length may have."""
+    return F.floor((1 - similarity) * size + 1e-9).cast("int")
 
-    def keys(size: int, first: int) -> Column:
-        bands = [deal[k : k + size] for deal in _deals for k in range(0, HASHES - size + 1, size)]
-        return F.array(*[F.xxhash64(F.lit(first + n), *[f"m{k}" for k in sorted(band)]) for n, band in enumerate(bands)])
 
-    return F.when(F.col("short"), keys(SHORT_BAND, 1000)).otherwise(keys(LONG_BAND, 0))
+def many_words() -> Column:
+    return F.greatest("words_a", "words_b") > FEW
 
 
-def similar_lengths(a, b, similarity: float = SIMILARITY) -> Column:
-    """Lengths that allow the similarity at all."""
-    return F.least(a, b) >= similarity * F.greatest(a, b)
+def possible(similarity: float = SIMILARITY) -> Column:
+    """Of a pair of described lines (.._a, .._b): whether lengths and bitmaps allow the similarity; an edit of a word changes two bits at most."""
+    apart = sum((F.bit_count(F.col(f"map{k}_a").bitwiseXOR(F.col(f"map{k}_b"))) for k in range(MAP // 64)), F.lit(0))
+    words = similar_lengths("words_a", "words_b", similarity) & (apart <= 2 * edits(F.greatest("words_a", "words_b"), similarity))
+    return F.when(many_words(), words).otherwise(similar_lengths("n_a", "n_b", similarity))
+
+
+def similar(similarity: float = SIMILARITY) -> Column:
+    """Of a pair of described lines: whether they are similar. Few edits are tried before many, as time goes by the bound."""
 
+    def within(x: str, y: str, size: Column) -> Column:
+        most = edits(size, similarity)
+        few = F.least(most, F.lit(24))
+        return (F.call_function("levenshtein", F.col(x), F.col(y), few) >= 0) | ((most > few) & (F.call_function("levenshtein", F.col(x), F.col(y), most) >= 0))
 
-def similar(a: str, b: str, similarity: float = SIMILARITY) -> Column:
-    """Edit similarity: 1 - distance / the longer length; lengths that rule it out come first."""
-    most = F.floor((1 - similarity) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
-    return similar_lengths(F.length(a), F.length(b), similarity) & (F.call_function("levenshtein", F.col(a), F.col(b), most) >= 0)
+    words = within("signs_a", "signs_b", F.greatest("words_a", "words_b"))
+    return possible(similarity) & F.when(many_words(), words).otherwise(within("line_a", "line_b", F.greatest("n_a", "n_b")))
 
 
 def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, component: of the distinct lines (node, ld_line) that are linked to another."""
-    lines = materialize(lines, "lines")
-    lengths = lines.select("node", F.length("ld_line").alias("n"))
-    blocks = simhash(lines).select("node", F.explode(block_keys(F.col("sim"))).alias("key"))
-    keyed = blocks.unionByName(minhash(lines).select("node", F.explode(band_keys()).alias("key")))
-    keyed = materialize(keyed.join(lengths, "node"), "line-keys")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("center")).filter("members > 1")
-    members = materialize(keyed.join(shared, "key"), "line-buckets")
+    """node, component: of the distinct lines that are linked to another; `lines` has each (node, ld_line) once or more."""
+    sketched = materialize(sketches(lines.select("node", "ld_line").distinct()), "line-sketches")
+    keyed = keys_of(lines, sketched)  # not written: cheaper to make again than to keep
+    shared = small(materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"), "line-shared"), KEYS)
+    members = materialize(keyed.join(shared, "key", "left_semi"), "line-members")
+    release(sketched)
+    wanted = small(materialize(members.select("node").distinct(), "line-wanted"), KEYS)
+    texts = materialize(described(lines.select("node", "ld_line").join(wanted, "node", "left_semi").distinct()), "line-texts")
+    maps = [f"map{k}" for k in range(MAP // 64)]
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select(*[F.col(c).alias(f"{c}_{name}") for c in frame.columns])
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = lines.select(F.col("node").alias("a"), F.col("ld_line").alias("line_a"))
-        right = lines.select(F.col("node").alias("b"), F.col("ld_line").alias("line_b"))
-        return materialize(pairs.distinct().join(left, "a").join(right, "b").filter(similar("line_a", "line_b", similarity)).select("a", "b"), "line-links")
-
-    stars = members.filter((F.col("node") != F.col("center.node")) & similar_lengths("n", "center.n", similarity))
-    labels = materialize(connected_components(confirm(stars.select(F.greatest("node", "center.node").alias("a"), F.least("node", "center.node").alias("b")))), "line-labels")
-    state = members.filter("members > 2").select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
-    largest = own.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("own", "component")).alias("largest")).filter("components > 1")
-    state = materialize(state.join(largest, "key"), "line-open")
-    x = state.filter("component <> largest").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-    y = state.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), "largest")
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-    rest = x.join(y, (F.col("key") == F.col("key_b")) & apart & similar_lengths("n_a", "n_b", similarity))
-    return joined_components(labels, confirm(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+        both = pairs.distinct().join(side(texts, "a"), F.col("a") == F.col("node_a")).join(side(texts, "b"), F.col("b") == F.col("node_b"))
+        return materialize(both.filter(similar(similarity)).select("a", "b"), "line-links")
+
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+    centers = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("center"))
+    stars = members.join(centers, "key").filter("node <> center").select(*ordered("node", "center"))
+    labels = materialize(connected_components(confirm(stars)), "line-labels")
+    # Buckets that still hold several components; a row for each component first, whatever its members.
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
+    largest = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("own", "component")).alias("largest"))
+    largest = materialize(largest.filter("low < high").select("key", "largest"), "line-open")
+    if not largest.limit(1).count():
+        return labels
+    state = materialize(placed.join(small(largest, KEYS), "key").join(texts.select("node", "n", "words", *maps), "node"), "line-state")
+    x, y = (side(state.withColumnRenamed("key", "bucket"), name) for name in "ab")
+    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest_a")) | (F.col("node_a") < F.col("node_b")))
+    rest = x.filter("component_a <> largest_a").join(y, F.col("bucket_a") == F.col("bucket_b")).filter(apart & possible(similarity))
+    return joined_components(labels, confirm(rest.select(*ordered("node_a", "node_b"))))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """ld_id, ld_hash, ld_gone (numbers of lines to remove, sorted): of documents with any."""
-    found = lines_of(docs, doc_id, text)
-    distinct = found.groupBy("node").agg(F.min("ld_line").alias("ld_line"))
-    labels = groups(distinct, similarity)
-    placed = found.select("ld_id", "ld_hash", "ld_at", "node").distinct().join(labels, "node", "left")
-    placed = materialize(placed.select("ld_id", "ld_hash", "ld_at", F.coalesce("component", "node").alias("group")), "line-places")
+    lines = materialize(lines_of(docs, doc_id, text), "lines")
+    labels = groups(lines, similarity)
+    # Rows that are equal in id and text are one document.
+    joined = lines.select("ld_id", "ld_hash", "ld_at", "node").distinct().join(labels, "node", "left")
+    placed = joined.select("ld_id", "ld_hash", "ld_at", F.coalesce("component", "node").alias("group"))
     order = F.struct(F.col("ld_id").isNull().alias("no_id"), "ld_id", "ld_hash", "ld_at")
-    first = placed.groupBy("group").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first")).filter("times > 1")
+    first = placed.groupBy("group").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first")).filter("times > 1").drop("times")
+    first = small(materialize(first, "line-first"), KEYS)
     gone = placed.join(first, "group").filter(order != F.col("first"))
     return gone.groupBy("ld_id", "ld_hash").agg(F.array_sort(F.collect_set("ld_at")).alias("ld_gone"))
 
