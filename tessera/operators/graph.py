@@ -203,6 +203,23 @@ def chain_from(links: DataFrame, start_semantics: str, walk_type: str | None, se
     return first.select("start", "hop", "node")
 
 
+def outbound(links: DataFrame, starts: DataFrame, hops: int = 200) -> DataFrame:
+    """start, node, hop: all nodes that each start (node) leads to along links, whatever branches, with the fewest hops.
+
+    A node is reached once, so cycles end; a start is not its own target. Each hop moves only what is new, and the last is
+    the first that finds nothing.
+    """
+    edges = materialize(links.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct(), "steps")
+    seen = frontier = materialize(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct(), "reached")
+    for hop in range(1, hops + 1):
+        moved = frontier.join(edges, "node").select("start", F.col("next").alias("node"), F.lit(hop).alias("hop")).distinct()
+        frontier = materialize(moved.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", "hop"), "reached")
+        if not frontier.limit(1).count():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("hop > 0")
+
+
 def episode_links(episodes: DataFrame, users: DataFrame) -> DataFrame:
     """Links of subjects' episodes (subject, episode) and their users (subject, episode, user): topic THEN the first, each THEN the next, user INFL episode."""
     name = F.concat(F.lit("episode/"), F.col("subject").cast("string"), F.lit("_ep_"), F.col("episode").cast("string"))

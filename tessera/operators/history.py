@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_bot
+from tessera.operators.prism import running_before
 
 MINUTE_NS, DAY_NS = 60 * 10**9, 86400 * 10**9
 SCALE = 10.0
@@ -203,20 +204,29 @@ def topic_summary(log: DataFrame, articles: DataFrame, kind: str = "db", **optio
     )
 
 
+#: Rows of a block in which a running mean is formed.
+AVERAGED = 1 << 14
 # Words in messages that count as signals.
 BAD_SIGNALS = ("fuck", "cunt", "bastard", "unhelpful", "unfair", "too", "deceiv", "deceptive", "terrorism", "justice", "unsourced")
 
 
 def assess_changes(changes: DataFrame, limit: int = 1000) -> DataFrame:
-    """`changes` (added, removed, message, intent, ord) with assessment, flags (names) and sigma: how far the intent is from the running mean."""
+    """`changes` (added, removed, message, intent, ord) with assessment, flags (names) and sigma: how far the intent is from the running mean.
+
+    The mean runs over all subjects together, in order of `ord`, which no two rows share.
+    """
     add, rm = F.octet_length(F.coalesce("added", F.lit(""))), F.octet_length(F.coalesce("removed", F.lit("")))
     large, deletion = F.abs(add - rm) > limit, rm > add * 10
     bad = F.exists(F.array(*map(F.lit, BAD_SIGNALS)), lambda x: F.contains(F.lower("message"), x))
-    # Older terms weigh less than 2^-63: the frame is as good as the whole history.
-    recent = Window.partitionBy("subject").orderBy("ord").rowsBetween(-63, 0)
-    history = F.collect_list(F.struct("ord", "intent")).over(recent)
-    mean = F.aggregate(history, F.lit(0.0), lambda a, x: 0.5 * a + 0.5 * x["intent"])
-    scored = changes.withColumn("mean", mean).withColumn("sigma", F.coalesce(F.try_divide(F.abs(F.col("intent") - F.col("mean")), F.abs("mean")), F.lit(0.0)))
+    # Rows go to blocks by their place in the whole order, each with the 63 before it: older terms weigh less than 2^-63.
+    places = running_before(changes.select("ord", "intent", F.lit(1).alias("one")), [], "ord", "one", "place").select("ord", "intent", "place")
+    own = F.floor(F.col("place") / AVERAGED)
+    late = F.pmod("place", F.lit(AVERAGED)) >= AVERAGED - 63
+    dealt = places.select("*", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("block"))
+    recent = Window.partitionBy("block").orderBy("place").rowsBetween(-63, 0)
+    mean = F.aggregate(F.collect_list("intent").over(recent), F.lit(0.0), lambda a, x: 0.5 * a + 0.5 * x)
+    means = dealt.withColumn("mean", mean).filter(F.col("block") == own).select("ord", "mean")
+    scored = changes.join(means, "ord").withColumn("sigma", F.coalesce(F.try_divide(F.abs(F.col("intent") - F.col("mean")), F.abs("mean")), F.lit(0.0)))
     flags = F.array_compact(
         F.array(
             F.when(large, F.lit("large_edit")), F.when(deletion, F.lit("large_deletion")), F.when(bad, F.lit("counter_policy_message")), F.when(F.col("sigma") > 1.5, F.lit("anomalous_message")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import history as H
@@ -126,8 +127,11 @@ def no_bots(spark, sf_dir):
 
 
 def assess_changes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    changes = d.select((F.col("doc_id") % 5).alias("subject"), F.col("doc_id").alias("ord"), F.substring("text", 1, 1500).alias("added"), F.substring("text", 1500, 900).alias("removed"), F.substring("text", 1, 200).alias("message"), (F.length("text") % 97).cast("double").alias("intent"))
+    """Each document in place of its subject's document before it; the message is its first line."""
+    text = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("subject"), F.col("doc_id").alias("ord"), text.alias("added"))
+    before = F.lag("added", 1, "").over(Window.partitionBy("subject").orderBy("ord"))
+    changes = d.select("*", before.alias("removed"), F.get(F.split("added", "\n"), F.lit(0)).alias("message"), (F.length("added") % 97).cast("double").alias("intent"))
     return H.assess_changes(changes).select("subject", "ord", "assessment", F.array_join("flags", ",").alias("flags"), F.round("sigma", 6).alias("sigma"))
 
 
@@ -188,8 +192,8 @@ fl AS (SELECT subject, seq, revert > 0 AND i > 1 AS explicit, revert > 0 AND i >
 SELECT ep.subject, ep.episode, concat_ws(',', CASE WHEN bool_or(effective) THEN 'effective_undo' END, CASE WHEN bool_or(explicit) THEN 'explicit_undo' END, CASE WHEN bool_or(issue) THEN 'state_of_contention' END, CASE WHEN bool_or(explicit OR effective) THEN 'state_of_uncertainty_about_article' END) AS flags
 FROM ep JOIN fl ON ep.subject = fl.subject AND ep.seq = fl.seq GROUP BY ep.subject, ep.episode""",
     "no_bots": f"""WITH {LOG} SELECT subject, count(*) AS edits, count(DISTINCT "user") AS users FROM log WHERE NOT (contains("user", 'Bot') OR ends_with("user", 'bot')) GROUP BY subject""",
-    "assess_changes": f"""WITH c AS (SELECT doc_id % 5 AS subject, doc_id AS ord, substr(text, 1, 1500) AS added, substr(text, 1500, 900) AS removed, lower(substr(text, 1, 200)) AS message, (length(text) % 97)::DOUBLE AS intent FROM documents),
-m AS (SELECT *, list(intent) OVER (PARTITION BY subject ORDER BY ord ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS xs FROM c),
+    "assess_changes": f"""WITH c AS (SELECT doc_id % 5 AS subject, doc_id AS ord, coalesce(text, '') AS added, coalesce(lag(coalesce(text, '')) OVER (PARTITION BY doc_id % 5 ORDER BY doc_id), '') AS removed, lower(string_split(coalesce(text, ''), chr(10))[1]) AS message, (length(coalesce(text, '')) % 97)::DOUBLE AS intent FROM documents),
+m AS (SELECT *, list(intent) OVER (ORDER BY ord ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS xs FROM c),
 a AS (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, xs), lambda p, q: 0.5::DOUBLE * p + 0.5::DOUBLE * q) AS mean, abs(strlen(added) - strlen(removed)) > 1000 AS lg, strlen(removed) > strlen(added) * 10 AS dl FROM m),
 s AS (SELECT *, CASE WHEN mean = 0 THEN 0 ELSE abs(intent - mean) / abs(mean) END AS sigma FROM a)
 SELECT subject, ord, CASE WHEN lg OR dl THEN 'potential_trustworthinss_low' ELSE 'potential_trustworthiness_ok' END AS assessment, concat_ws(',', CASE WHEN lg THEN 'large_edit' END, CASE WHEN dl THEN 'large_deletion' END,
