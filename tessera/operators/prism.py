@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CUTOFF, LEG, LEVELS, MIN_BYTES, MIN_COUNT, clean, intentionality, let, ngrams, split_sentences, words
+from tessera.runtime import materialize, small
 
 BLOCK = 1 << 16
+#: Hashes of n-grams that are broadcast at most: 16 MB.
+HASHES = 2_000_000
 
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern: str = r"[^\n]#", cleaned: bool = False) -> DataFrame:
@@ -38,16 +41,27 @@ def running_before(frame: DataFrame, keys: list[str], order: str, value: str, na
     return blocked.withColumn("inner", inner).join(before, [*keys, "block"]).withColumn(name, F.col("inner") + F.col("before_block")).drop("block", "inner", "before_block")
 
 
-def per_document(sents: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n, ngram, own (count), first, last (sentences), spread (distinct sentences)."""
-    return occurrences(sents).groupBy("doc_id", "n", "ngram").agg(
+def frequent(sents: DataFrame) -> DataFrame:
+    """The occurrences of n-grams that all documents together hold MIN_COUNT times or more: no other has any intent.
+
+    Counts go by a 64-bit hash; where two n-grams share one, some that are rarer stay, and have no intent either.
+    """
+    found = occurrences(sents).filter(F.octet_length("ngram") >= MIN_BYTES).withColumn("h", F.xxhash64("n", "ngram"))
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= MIN_COUNT).select("h")
+    often = small(materialize(often, "often"), HASHES)
+    return materialize(found.join(often, "h", "left_semi").drop("h"), "frequent")
+
+
+def per_document(found: DataFrame) -> DataFrame:
+    """doc_id, n_sentences, n, ngram, own (count), first, last (sentences), spread (distinct sentences) of occurrences."""
+    return found.groupBy("doc_id", "n", "ngram").agg(
         F.first("n_sentences").alias("n_sentences"), F.count(F.lit(1)).alias("own"), F.min("s_idx").alias("first"), F.max("s_idx").alias("last"), F.count_distinct("s_idx").alias("spread")
     )
 
 
 def topics(docs: DataFrame, leg: int = LEG, cutoff: float = CUTOFF, **columns) -> DataFrame:
     """doc_id, n, ngram, intent: concepts that persist through a document, by the counts so far through all documents."""
-    known = per_document(sentences(docs, **columns)).filter(F.octet_length("ngram") >= MIN_BYTES)
+    known = per_document(frequent(materialize(sentences(docs, **columns), "sentences")))
     counted = running_before(known, ["n", "ngram"], "doc_id", "own", "before")
     scored = counted.withColumn("intent", intentionality(F.col("before") + F.col("own"), F.col("ngram"), F.col("n_sentences"), leg))
     gap = F.col("last") / F.col("own")
@@ -57,11 +71,9 @@ def topics(docs: DataFrame, leg: int = LEG, cutoff: float = CUTOFF, **columns) -
 def sentence_ranks(docs: DataFrame, leg: int = LEG, **columns) -> DataFrame:
     """doc_id, n_sentences, s_idx, rank: sums of the intentionality of each sentence's n-grams at the counts so far,
     raised towards both ends of the document. The empty first sentence (s_idx 0) has rank 0."""
-    sents = sentences(docs, **columns)
-    found = occurrences(sents).filter(F.octet_length("ngram") >= MIN_BYTES)
-    # Counts that reach the minimum nowhere contribute nothing: they go before the rows are ordered.
-    frequent = found.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= MIN_COUNT).select("n", "ngram")
-    own = found.groupBy("doc_id", "n", "ngram").agg(F.count(F.lit(1)).alias("own")).join(frequent, ["n", "ngram"], "left_semi")
+    sents = materialize(sentences(docs, **columns), "sentences")
+    found = frequent(sents)
+    own = found.groupBy("doc_id", "n", "ngram").agg(F.count(F.lit(1)).alias("own"))
     before = running_before(own, ["n", "ngram"], "doc_id", "own", "before").drop("own")
     within = found.withColumn("inner", F.row_number().over(Window.partitionBy("doc_id", "n", "ngram").orderBy("s_idx", "pos")))
     scored = within.join(before, ["doc_id", "n", "ngram"]).withColumn("score", intentionality(F.col("before") + F.col("inner"), F.col("ngram"), F.col("n_sentences"), leg))
