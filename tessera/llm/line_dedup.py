@@ -40,7 +40,7 @@ BLOCKS, BITS, PER_COUNTER, WIDTH = 6, 15, 3, 21
 SHORT, FEW = 80, 12
 #: Features that two blocks must hold for a key, by kind of feature: words and character pairs.
 LEAST = {"w": 3, "c": 3}
-#: Bits of the bitmap of a line's words, in longs of 64.
+#: Bits of the bitmap of a line's words, or of the character pairs of a line of FEW words, in longs of 64.
 MAP = 256
 #: Keys or nodes that are broadcast at most.
 KEYS = 500_000
@@ -111,12 +111,16 @@ def word_keys(line: str) -> Column:
     return F.when(F.size(words) <= FEW, let(words, without)).otherwise(F.array().cast("array<bigint>"))
 
 
+def character_pairs(line: str) -> Column:
+    """Each two characters that follow one another, with a space at both ends."""
+    edged = F.concat(F.lit(" "), line, F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2)))
+
+
 def sketches(lines: DataFrame) -> DataFrame:
     """node, kind (w: words, c: character pairs), sim, counts: SimHashes of distinct lines (node, ld_line)."""
     words = lines.select("node", F.explode(F.split("ld_line", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
-    edged = F.concat(F.lit(" "), "ld_line", F.lit(" "))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2)))
-    grams = lines.filter(F.length("ld_line") <= SHORT).select("node", F.explode(pairs).alias("gram")).select("node", F.xxhash64("gram").alias("h"))
+    grams = lines.filter(F.length("ld_line") <= SHORT).select("node", F.explode(character_pairs("ld_line")).alias("gram")).select("node", F.xxhash64("gram").alias("h"))
     return simhash(words).withColumn("kind", F.lit("w")).unionByName(simhash(grams).withColumn("kind", F.lit("c")))
 
 
@@ -136,7 +140,8 @@ def described(lines: DataFrame) -> DataFrame:
     codes = F.transform(words, lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF).cast("bigint"))), 4, "0"))
     signs = F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
     sizes = lines.select("node", F.length("ld_line").alias("n"), F.size(words).alias("words"), F.when(F.size(words) <= FEW, F.col("ld_line")).alias("line"), signs.alias("signs"))
-    each = lines.select("node", F.explode(words).alias("word")).select("node", F.pmod(F.xxhash64("word"), F.lit(MAP)).cast("int").alias("bit"))
+    features = F.when(F.size(words) <= FEW, character_pairs("ld_line")).otherwise(words)
+    each = lines.select("node", F.explode(features).alias("x")).select("node", F.pmod(F.xxhash64("x"), F.lit(MAP)).cast("int").alias("bit"))
     zero = F.lit(0).cast("bigint")
     bits = [F.bit_or(F.when(F.shiftright("bit", 6) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)).otherwise(zero)).alias(f"map{k}") for k in range(MAP // 64)]
     return sizes.join(each.groupBy("node").agg(*bits), "node")
@@ -157,10 +162,15 @@ def many_words() -> Column:
 
 
 def possible(similarity: float = SIMILARITY) -> Column:
-    """Of a pair of described lines (.._a, .._b): whether lengths and bitmaps allow the similarity; an edit of a word changes two bits at most."""
+    """Of a pair of described lines (.._a, .._b): whether lengths and bitmaps allow the similarity.
+
+    An edit of a word changes two bits at most, that of a character four. Bitmaps of words are not held against those of
+    characters.
+    """
     apart = sum((F.bit_count(F.col(f"map{k}_a").bitwiseXOR(F.col(f"map{k}_b"))) for k in range(MAP // 64)), F.lit(0))
-    words = similar_lengths("words_a", "words_b", similarity) & (apart <= 2 * edits(F.greatest("words_a", "words_b"), similarity))
-    return F.when(many_words(), words).otherwise(similar_lengths("n_a", "n_b", similarity))
+    in_words = (F.least("words_a", "words_b") <= FEW) | (apart <= 2 * edits(F.greatest("words_a", "words_b"), similarity))
+    in_characters = similar_lengths("n_a", "n_b", similarity) & (apart <= 4 * edits(F.greatest("n_a", "n_b"), similarity))
+    return F.when(many_words(), similar_lengths("words_a", "words_b", similarity) & in_words).otherwise(in_characters)
 
 
 def similar(similarity: float = SIMILARITY) -> Column:
