@@ -7,7 +7,7 @@ row updates. Chains and paths are bounded walks that end when nothing is left to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -117,9 +117,10 @@ def upsert_values(versions: DataFrame, keys: list[str], value: str, seq: str = "
 
 
 def learn_links(versions: DataFrame, seq: str = "seq") -> DataFrame:
-    """Half of each weight and half of what was, from 0, in order."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("weight").alias("w"))))
-    return versions.groupBy(*EDGE).agg(F.aggregate(listed, F.lit(0.0), lambda a, x: 0.5 * x["w"] + 0.5 * a).alias("weight"))
+    """Half of each weight and half of what was, from 0, in order; null weights are passed over."""
+    after = F.count("weight").over(Window.partitionBy(*EDGE).orderBy(F.desc(seq), F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1))
+    weighed = versions.withColumn("after", F.coalesce(after, F.lit(0)))
+    return weighed.groupBy(*EDGE).agg(F.coalesce(F.sum(F.pow(F.lit(0.5), F.col("after") + 1) * F.col("weight")), F.lit(0.0)).alias("weight"))
 
 
 def increment_links(versions: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A changelog has subject, seq (its order: by date, ties by id), date, user, edit_delta, message, revert. All but the
 episode boundary are window functions and aggregates by subject. The boundary feeds back (where an episode starts
-depends on where the last one ended), so it is a fold over a subject's ordered times and nothing else: three numbers
-an event, within one row, in built-in functions. A subject's history is bounded by the source; a hot subject costs
-memory for its times alone.
+depends on where the last one ended), so it is a fold over a subject's sorted events that holds three numbers.
+
+Defined results: a null subject or user is one of its own; the columns t, gap, i, episode and closes are the operators',
+and replace any of those names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import is_bot
 from tessera.operators.prism import running_before
+from tessera.runtime import fold_rows
 
 MINUTE_NS, DAY_NS = 60 * 10**9, 86400 * 10**9
 SCALE = 10.0
+#: Rows of a block in which a running mean is formed.
+AVERAGED = 1 << 14
 
 
 def changelog(events: DataFrame, subject: Column, no_bots: bool = False) -> DataFrame:
@@ -50,32 +54,45 @@ def gaps(log: DataFrame, keep_negative: bool = False) -> DataFrame:
     return frame.withColumn("gap", gap if keep_negative else F.greatest(gap, F.lit(0)))
 
 
-def ema(values: Column, start: float, keep: float = 0.4, take: float = 0.6) -> Column:
-    """Running average of an array, in order."""
-    return F.aggregate(values, F.lit(float(start)), lambda a, x: keep * a + take * x.cast("double"))
+def running_average(frame: DataFrame, keys: list[str], order: list[str], block: Column, value: str, start: float, keep: float = 0.4, take: float = 0.6) -> DataFrame:
+    """keys, rows, average: `keep` of what was and `take` of each value, in order, from `start`; null values are passed over.
+
+    It is a weighted sum, so blocks of each key (which rise with the order) are summed apart and joined by the number of
+    values after them: no row and no state holds a key's values.
+    """
+    blocked = frame.withColumn("block", block)
+    latest = Window.partitionBy(*keys, "block").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.count(value).over(latest), F.lit(0))
+    parts = blocked.withColumn("after", after).groupBy(*keys, "block").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(value).alias("n"), F.sum(take * F.pow(F.lit(keep), F.col("after")) * F.col(value)).alias("part")
+    )
+    later = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = start * F.pow(F.lit(keep), F.sum("n")) + F.coalesce(F.sum(F.pow(F.lit(keep), F.col("later")) * F.col("part")), F.lit(0.0))
+    return parts.withColumn("later", later).groupBy(*keys).agg(F.sum("rows").alias("rows"), total.alias("average"))
 
 
 def gap_average(log: DataFrame, start: float = float(MINUTE_NS)) -> DataFrame:
     """subject, events, average: the running average gap after the last event."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "gap"))), lambda x: x["gap"])
-    return gaps(log).groupBy("subject").agg(F.count(F.lit(1)).alias("events"), ema(listed, start).alias("average"))
+    found = running_average(gaps(log), ["subject"], ["i"], F.floor(F.col("i") / AVERAGED), "gap", start)
+    return found.withColumnRenamed("rows", "events")
 
 
 def user_gap_average(log: DataFrame) -> DataFrame:
     """subject, user, edits, average: gaps of each user's own edits, from a minute on."""
     w = ordered("subject", "user")
     own = log.withColumn("t", ns(F.col("date"))).withColumn("i", F.row_number().over(w)).withColumn("gap", F.when(F.col("i") > 1, F.greatest(F.col("t") - F.lag("t").over(w), F.lit(0))))
-    listed = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("i", "gap"))), lambda x: x["gap"].isNotNull()), lambda x: x["gap"])
-    return own.groupBy("subject", "user").agg(F.count(F.lit(1)).alias("edits"), ema(listed, MINUTE_NS).alias("average"))
+    found = running_average(own, ["subject", "user"], ["i"], F.floor(F.col("i") / AVERAGED), "gap", float(MINUTE_NS))
+    return found.withColumnRenamed("rows", "edits")
 
 
-def _closes(kind: str, gap: Column, length: Column, before: Column, after: Column, scale: float, days: float) -> Column:
-    day = F.lit(int(days * DAY_NS))
-    if kind == "base":
-        return (gap > scale * before) & (length > day)
-    if kind == "db":
-        return (gap > day) & (length > day) & (gap > scale * before)
-    return (length > 2 * day) & (gap > after) & (gap > 10 * day)
+def _closes(kind: str, scale: float, days: float):
+    """Whether an episode ends, by gap, length so far and the average gap before and after this one."""
+    day = int(days * DAY_NS)
+    return {
+        "base": lambda gap, length, before, after: gap > scale * before and length > day,
+        "db": lambda gap, length, before, after: gap > day and length > day and gap > scale * before,
+        "ml": lambda gap, length, before, after: length > 2 * day and gap > after and gap > 10 * day,
+    }[kind]
 
 
 def episodes(log: DataFrame, kind: str = "db", scale: float = SCALE, days: float = 1.0) -> DataFrame:
@@ -83,28 +100,23 @@ def episodes(log: DataFrame, kind: str = "db", scale: float = SCALE, days: float
 
     kind: "base" (a burst starts at the event that closed the last one), "db" or "ml" (at the next event).
     days: the shortest episode and, for db, the shortest gap; ml asks for twice and ten times as much.
+    A null subject is a subject; events without a date come first and close nothing.
     """
-    frame = gaps(log, keep_negative=kind == "ml")
-    start = 0.0 if kind == "ml" else float(MINUTE_NS)
-    listed = frame.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("i", "t", "gap"))).alias("list"))
-    first = F.lit(None).cast("long")
-
-    def step(a, x):
-        burst = F.coalesce(a["burst"], x["t"])
-        after = 0.4 * a["ema"] + 0.6 * x["gap"].cast("double")
-        closes = _closes(kind, x["gap"], x["t"] - burst, a["ema"], after, scale, days)
-        opened = x["t"] if kind == "base" else first
-        return F.named_struct(
-            F.lit("ema"), after, F.lit("burst"), F.when(closes, opened).otherwise(burst), F.lit("ends"), F.when(closes, F.concat(a["ends"], F.array(x["i"]))).otherwise(a["ends"])
-        )
+    ends = _closes(kind, scale, days)
 
-    zero = F.named_struct(F.lit("ema"), F.lit(start), F.lit("burst"), first, F.lit("ends"), F.array().cast("array<int>"))
-    cuts = listed.select("subject", F.aggregate("list", zero, step)["ends"].alias("ends")).select("subject", F.explode("ends").alias("i"), F.lit(True).alias("cut"))
-    w = ordered()
-    marked = frame.join(cuts, ["subject", "i"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-    last = F.lead("i").over(w).isNull()
-    before = F.coalesce(F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("closes", F.col("cut") | last).withColumn("episode", (before + 1).cast("int")).drop("cut")
+    def step(state, t, gap, last):
+        average, burst, episode = state
+        if t is None or gap is None:
+            return state, (episode, last)
+        burst = t if burst is None else burst
+        after = 0.4 * average + 0.6 * gap
+        cut = ends(gap, t - burst, average, after)
+        opened = (t if kind == "base" else None) if cut else burst
+        return (after, opened, episode + cut), (episode, cut or last)
+
+    frame = gaps(log, keep_negative=kind == "ml").withColumn("last", F.lead("i").over(ordered()).isNull())
+    start = (0.0 if kind == "ml" else float(MINUTE_NS), None, 1)
+    return fold_rows(frame, ["subject"], ["i"], ["t", "gap", "last"], start, step, "episode int, closes boolean").drop("last")
 
 
 def episode_table(log: DataFrame, kind: str = "db", **options) -> DataFrame:
@@ -166,18 +178,22 @@ def frequency(values: DataFrame, value: str) -> DataFrame:
 def interval_overlaps(log: DataFrame, horizon: int = 5, **options) -> DataFrame:
     """subject, episode, user, partners: users of an episode whose spans of event numbers, widened by the horizon, meet.
 
-    Spans are dealt to tiles of the number line, so only users of one tile are compared.
+    All users of an episode are partners but those who end before a span or start after it: two counts in order, no pairs.
     """
     found = episodes(log, **options)
     numbered = found.withColumn("k", F.row_number().over(Window.partitionBy("subject", "episode").orderBy("date", "seq")))
     spans = numbered.groupBy("subject", "episode", "user").agg(F.min("k").alias("s"), F.max("k").alias("e"))
-    tile = 4 * horizon
-    tiled = spans.withColumn("tile", F.explode(F.sequence(F.floor(F.col("s") / tile), F.floor((F.col("e") + horizon) / tile))))
-    other = tiled.select("subject", "episode", "tile", F.col("user").alias("other"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    meet = (F.col("s") <= F.col("e2") + horizon) & (F.col("s2") <= F.col("e") + horizon)
-    pairs = tiled.join(other, ["subject", "episode", "tile"]).filter((F.col("user") < F.col("other")) & meet).select("subject", "episode", "user", "other").distinct()
-    both = pairs.union(pairs.select("subject", "episode", "other", "user"))
-    return both.groupBy("subject", "episode", "user").agg(F.count(F.lit(1)).alias("partners"))
+    s, e = F.col("s"), F.col("e")
+
+    def point(axis: int, x: Column, counts: int) -> Column:
+        return F.struct(F.lit(axis).alias("axis"), x.alias("x"), F.lit(counts).alias("counts"))
+
+    points = spans.select("subject", "episode", "user", F.inline(F.array(point(0, e, 1), point(0, s - horizon, 0), point(1, -s, 1), point(1, -e - horizon, 0))))
+    axis = Window.partitionBy("subject", "episode", "axis")
+    below = F.sum("counts").over(axis.orderBy("x", "counts").rowsBetween(Window.unboundedPreceding, 0))
+    asked = points.withColumn("below", below).withColumn("all", F.sum("counts").over(axis)).filter("counts = 0")
+    partners = F.max("all") - 1 - F.sum("below")
+    return asked.groupBy("subject", "episode", "user").agg(partners.alias("partners")).filter("partners > 0")
 
 
 def topic_summary(log: DataFrame, articles: DataFrame, kind: str = "db", **options) -> DataFrame:
@@ -204,8 +220,6 @@ def topic_summary(log: DataFrame, articles: DataFrame, kind: str = "db", **optio
     )
 
 
-#: Rows of a block in which a running mean is formed.
-AVERAGED = 1 << 14
 # Words in messages that count as signals.
 BAD_SIGNALS = ("fuck", "cunt", "bastard", "unhelpful", "unfair", "too", "deceiv", "deceptive", "terrorism", "justice", "unsourced")
 

@@ -3,6 +3,9 @@
 Documents are dealt once by their id; sentences, n-grams and the counts within a document then need no other
 shuffle. Counts that run through all documents in order of id are prefix sums in two levels: over blocks of ids,
 then within a block, so an n-gram that every document has is not one task's work.
+
+Defined results: null texts have no sentence; a null id is an id, before all others; rows that share an id are read as
+one document, their n-grams counted together; other columns are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CUTOFF, LEG, LEVELS, MIN_BYTES, MIN_COUNT, clean, intentionality, let, ngrams, split_sentences, words
-from tessera.runtime import materialize, small
+from tessera.runtime import join_null_safe, materialize, small
 
 BLOCK = 1 << 16
 #: Hashes of n-grams that are broadcast at most: 16 MB.
@@ -33,8 +36,8 @@ def occurrences(sents: DataFrame, levels=LEVELS) -> DataFrame:
 
 
 def running_before(frame: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
-    """`frame` with the sum of `value` over the rows of the same keys that come before in order."""
-    blocked = frame.withColumn("block", F.floor(F.col(order) / block))
+    """`frame` with the sum of `value` over the rows of the same keys that come before in order; nulls come first."""
+    blocked = frame.withColumn("block", F.coalesce(F.floor(F.col(order) / block), F.lit(-(1 << 62))))
     sums = blocked.groupBy(*keys, "block").agg(F.sum(value).alias("in_block"))
     before = sums.select(*keys, "block", F.coalesce(F.sum("in_block").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_block"))
     inner = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -76,13 +79,13 @@ def sentence_ranks(docs: DataFrame, leg: int = LEG, **columns) -> DataFrame:
     own = found.groupBy("doc_id", "n", "ngram").agg(F.count(F.lit(1)).alias("own"))
     before = running_before(own, ["n", "ngram"], "doc_id", "own", "before").drop("own")
     within = found.withColumn("inner", F.row_number().over(Window.partitionBy("doc_id", "n", "ngram").orderBy("s_idx", "pos")))
-    scored = within.join(before, ["doc_id", "n", "ngram"]).withColumn("score", intentionality(F.col("before") + F.col("inner"), F.col("ngram"), F.col("n_sentences"), leg))
+    scored = join_null_safe(within, before, ["doc_id", "n", "ngram"]).withColumn("score", intentionality(F.col("before") + F.col("inner"), F.col("ngram"), F.col("n_sentences"), leg))
     ranked = scored.groupBy("doc_id", "s_idx").agg(F.sum("score").alias("score"))
     first = sents.groupBy("doc_id").agg(F.first("n_sentences").alias("n_sentences")).withColumn("s_idx", F.lit(0))
     every = first.unionByName(sents.select("doc_id", "n_sentences", "s_idx"))
     middle = F.floor(F.col("n_sentences") / 2)
     scale = F.when(middle == 0, F.lit(1.0)).otherwise(1 + (middle - F.col("s_idx")) * (middle - F.col("s_idx")) / (middle * middle))
-    return every.join(ranked, ["doc_id", "s_idx"], "left").select("doc_id", "n_sentences", "s_idx", F.round(F.coalesce("score", F.lit(0.0)) * scale, 6).alias("rank"))
+    return join_null_safe(every, ranked, ["doc_id", "s_idx"], "left").select("doc_id", "n_sentences", "s_idx", F.round(F.coalesce("score", F.lit(0.0)) * scale, 6).alias("rank"))
 
 
 def legs(ranks: DataFrame, leg: int = LEG) -> DataFrame:
@@ -103,7 +106,7 @@ def selections(ranks: DataFrame, leg: int = LEG, threshold: float = 0.0, most: i
     0.5 + sqrt(leg * interest), or `most` in legs above a threshold."""
     number = F.floor(F.greatest(F.col("s_idx") - 1, F.lit(0)) / (leg + 1)).cast("int")
     distinct = ranks.withColumn("leg", number).groupBy("doc_id", "leg", "rank").agg(F.max("s_idx").alias("s_idx"))
-    joined = distinct.join(legs(ranks, leg), ["doc_id", "leg"]).filter(F.col("interest") > threshold)
+    joined = join_null_safe(distinct, legs(ranks, leg), ["doc_id", "leg"]).filter(F.col("interest") > threshold)
     keep = F.lit(most) if most else F.floor(0.5 + F.sqrt(leg * F.col("interest")))
     place = F.row_number().over(Window.partitionBy("doc_id", "leg").orderBy(F.desc("rank")))
     return joined.withColumn("place", place).filter(F.col("place") <= keep).select("doc_id", "leg", "s_idx", "rank")
@@ -129,7 +132,7 @@ def static_intent(messages: DataFrame, keys: list[str], text: str = "text", stm:
     means = each.distinct().join(stm, ["n", "ngram"], "left").groupBy(*keys, "n").agg(F.avg(F.coalesce("count", F.lit(0))).alias("mean"))
     total = means.groupBy(*keys).agg(F.sum("mean").alias("total"))
     value = F.when(F.col("bytes") < 10, 0.0).otherwise(F.coalesce("total", F.lit(0.0)) * F.col("bytes") / 7)
-    return rows.drop("grams").join(total, keys, "left").select(*keys, F.round(value, 4).alias("intent"))
+    return join_null_safe(rows.drop("grams"), total, keys, "left").select(*keys, F.round(value, 4).alias("intent"))
 
 
 def overlap(left: DataFrame, right: DataFrame, on=("n", "ngram")) -> DataFrame:

@@ -1,7 +1,7 @@
 """Promises: what is learned from a series of measured times, and week-long periodograms.
 
 Samples have promise, seq (order: by t, ties by id), t (ns), q. Everything but two running averages comes from
-lags; those two are folds over a promise's own samples.
+lags; those two are folds over a promise's own samples. A null promise is one of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.times import torus_slot, week_slots
-from tessera.operators.history import ns
+from tessera.operators.history import ns, running_average
+from tessera.runtime import fold_rows
 
 
 def samples(events: DataFrame) -> DataFrame:
@@ -74,10 +75,14 @@ def outcomes(states: DataFrame, bound: float, interval: float, quality: Column |
 
 
 def trust(scored: DataFrame) -> DataFrame:
-    """promise, reliability: 0.4 of what it was and 0.6 of each delta, from 0.5; what fell to 0 starts there again."""
-    listed = F.array_sort(F.collect_list(F.struct("i", "delta")))
-    fold = F.aggregate(listed, F.lit(0.0), lambda r, x: 0.4 * F.when(r == 0, F.lit(0.5)).otherwise(r) + 0.6 * x["delta"])
-    return scored.groupBy("promise").agg(F.count(F.lit(1)).alias("samples"), fold.alias("reliability"))
+    """promise, samples, reliability: 0.4 of what it was and 0.6 of each delta, from 0.5; what fell to 0 starts there again."""
+
+    def step(r, delta):
+        r = 0.4 * (r or 0.5) + 0.6 * (delta or 0.0)
+        return r, (r,)
+
+    each = fold_rows(scored.select("promise", "i", "delta"), ["promise"], ["i", "delta"], ["delta"], 0.0, step, "reliability double")
+    return each.groupBy("promise").agg(F.count(F.lit(1)).alias("samples"), F.max_by("reliability", F.struct("i", "delta")).alias("reliability"))
 
 
 def latencies(begins: DataFrame) -> DataFrame:
@@ -90,21 +95,30 @@ def latencies(begins: DataFrame) -> DataFrame:
     return made.withColumn("rate", F.coalesce(F.try_divide(F.col("change").cast("double"), F.col("latency").cast("double")), F.lit(0.0)))
 
 
-def rate_limited(requests: DataFrame, apart_s: float = 30.0) -> DataFrame:
-    """requests (name, seq, begin_ns, end_ns) -> with ready: no request of the name was completed within the time before.
+def rate_limited(requests: DataFrame, apart_s: float = 30.0, expire_s: float = 60.0) -> DataFrame:
+    """requests (name, seq, begin_ns, end_ns) -> with ready: no request of the name was completed within the time before,
+    and expired: a request that was let in still ran (one without an end always does) after more than expire_s, so that
+    its lock was taken from it. One that runs keeps no other out.
 
-    Only requests that were let in count as completed, so it is a fold over each name's requests.
+    Only requests that were let in count, so it is a fold over each name's requests in order; its state is the time of the
+    last completion, the lock and the ends still to come. A null name is a name; requests without a begin are not ready.
     """
-    apart = int(apart_s * 1e9)
+    apart, expire = int(apart_s * 1e9), int(expire_s * 1e9)
 
-    def step(a, x):
-        ready = x["begin_ns"] - a["last"] >= apart
-        return F.named_struct(F.lit("last"), F.when(ready, x["end_ns"]).otherwise(a["last"]), F.lit("out"), F.when(ready, F.concat(a["out"], F.array(x["seq"]))).otherwise(a["out"]))
+    def step(state, begin, end):
+        last, lock, running = state
+        if begin is None:
+            return state, (False, False)
+        done = [e for e in running if e <= begin]
+        if done:
+            last, lock, running = max(done), None, tuple(e for e in running if e > begin)
+        ready = last is None or begin - last >= apart
+        expired = ready and lock is not None and begin - lock > expire
+        if ready:
+            lock, running = begin, running if end is None else (*running, end)
+        return (last, lock, running), (ready, expired)
 
-    zero = F.named_struct(F.lit("last"), F.lit(-(1 << 62)).cast("long"), F.lit("out"), F.array().cast("array<bigint>"))
-    listed = requests.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("begin_ns", "seq", "end_ns"))).alias("list"))
-    let_in = listed.select("name", F.explode(F.aggregate("list", zero, step)["out"]).alias("seq"), F.lit(True).alias("ready"))
-    return requests.join(let_in, ["name", "seq"], "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
+    return fold_rows(requests, ["name"], ["begin_ns", "seq"], ["begin_ns", "end_ns"], (None, None, ()), step, "ready boolean, expired boolean")
 
 
 # ---- periodograms
@@ -115,9 +129,10 @@ def weekly_sum(frame: DataFrame, ts: str, value: str, *keys: str) -> DataFrame:
 
 
 def weekly_learn(frame: DataFrame, ts: str, value: str, order: str) -> DataFrame:
-    """slot, v: half of each value and half of what was, from 0, in order."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(order).alias("o"), F.col(value).alias("x"))))
-    return frame.groupBy(torus_slot(F.col(ts)).alias("slot")).agg(F.aggregate(listed, F.lit(0.0), lambda a, x: 0.5 * x["x"] + 0.5 * a).alias("v"))
+    """slot, v: half of each value and half of what was, from 0, in order; each slot of each week is a block."""
+    rows = frame.select(torus_slot(F.col(ts)).alias("slot"), F.col(ts).alias("t"), F.col(order).alias("o"), F.col(value).alias("x"))
+    block = F.floor(ns(F.col("t")) / (300 * 10**9))
+    return running_average(rows, ["slot"], ["t", "o", "x"], block, "x", 0.0, 0.5, 0.5).select("slot", F.col("average").alias("v"))
 
 
 def weekly_set(frame: DataFrame, ts: str, value: str, order: str) -> DataFrame:

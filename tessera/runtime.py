@@ -7,11 +7,13 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from weakref import WeakKeyDictionary
 
 import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 ARROW_ROWS = 2000
@@ -88,7 +90,7 @@ def _trimmed(run: Callable) -> Callable:
     return whole
 
 
-def map_arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(frame: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """frame.mapInArrow, in batches of at most ARROW_ROWS rows: a worker and its JVM hold few texts at a time.
 
     The setting is the session's, as a plan is made only when it runs; a lower one stays. A worker gives its memory
@@ -100,6 +102,46 @@ def map_arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
     return frame.mapInArrow(_trimmed(run), schema)
 
 
+def fold_rows(frame: DataFrame, keys: list[str], order: list[str], values: list[str], start: tuple, step: Callable, added: str) -> DataFrame:
+    """`frame` with the columns `added`: step(state, *values) -> (state, tuple) for each key's rows in order, from start.
+
+    For folds that feed back, so that no window function gives them. A key's rows are dealt to one task and sorted, which
+    spills; the task holds a state and a batch, never a key's rows. A null key is a key of its own.
+    """
+    spark = frame.sparkSession
+    more = spark.createDataFrame([], added).schema.fields
+    schema = StructType([*frame.schema.fields, *more])
+    types = [pyarrow.from_numpy_dtype(_NUMPY[f.dataType.typeName()]) for f in more]
+
+    def run(batches: Iterator) -> Iterator:
+        current, state = None, start
+        for batch in batches:
+            out = []
+            columns = [batch.column(names.index(c)).to_pylist() for c in (*keys, *values)]
+            for row in zip(*columns):
+                key = row[: len(keys)]
+                if key != current:
+                    current, state = key, start
+                state, made = step(state, *row[len(keys) :])
+                out.append(made)
+            new = [pyarrow.array([x[k] for x in out], t) for k, t in enumerate(types)]
+            yield pyarrow.RecordBatch.from_arrays([*batch.columns, *new], names=[f.name for f in schema.fields])
+
+    names = frame.columns
+    dealt = frame.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return map_arrow(dealt, run, schema)
+
+
+_NUMPY = {"long": "int64", "integer": "int32", "double": "float64", "boolean": "bool"}
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) where a null key equals another."""
+    other = right.withColumnsRenamed({k: f"{k}__right" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__right")) for k in keys])
+    return left.join(other, same, how).drop(*[f"{k}__right" for k in keys])
+
+
 def small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """`frame`, marked for broadcast if its counted rows are within the bound, else left to the optimizer.
 

@@ -204,3 +204,48 @@ def test_text_sources(spark, tmp_path):
     assert texts.characters(spark, str(tmp_path / "k.txt")).filter("ch = '一'").count() == 1
     texts.append_values(spark.range(2), str(tmp_path / "out"), "id")
     assert texts.first_lines(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_null_keys(spark):
+    """A null subject, name or id is one of its own, and fares as any other."""
+    s = 10**9
+    rows = [(n, i, t * s, None if i == 2 else (t + 1) * s) for n in ("a", None) for i, t in enumerate((0, 20, 31, 40, 200))]
+    found = rate_limited(spark.createDataFrame(rows, "name string, seq long, begin_ns long, end_ns long")).collect()
+    for name in ("a", None):
+        assert {r.seq: (r.ready, r.expired) for r in found if r.name == name} == {0: (True, False), 1: (False, False), 2: (True, False), 3: (True, False), 4: (True, False)}
+    lone = spark.createDataFrame([("n", 0, 0, None), ("n", 1, 50 * s, None), ("n", 2, 200 * s, None)], "name string, seq long, begin_ns long, end_ns long")
+    assert [(r.ready, r.expired) for r in rate_limited(lone).orderBy("seq").collect()] == [(True, False), (True, False), (True, True)]
+    times = [(1_700_000_000 + k * (90000 if k % 5 == 4 else 60), "ab"[k % 2], 10, 0) for k in range(40)]
+    log = _log(spark, sorted(times)).withColumn("subject", F.explode(F.array(F.lit(0), F.lit(None).cast("int"))))
+    for kind in ("base", "db", "ml"):
+        cuts = {k: [r.closes for r in H.episodes(log, kind, 1.0, 0.1).orderBy("seq").collect() if r.subject == k] for k in (0, None)}
+        assert cuts[0] == cuts[None] and sum(cuts[0]) >= 1
+    assert {r.subject: r.average for r in H.gap_average(log).collect()}.keys() == {0, None}
+    text = "The rain in spain falls.# " * 8
+    docs = spark.createDataFrame([(1, text), (None, text), (2, None)], "doc_id long, text string")
+    ranks = prism.sentence_ranks(docs, 10)
+    total = {r.doc_id: r.total for r in ranks.groupBy("doc_id").agg(F.sum("rank").alias("total")).collect()}
+    assert total[None] > 0 and total[1] > 0
+    assert {r.doc_id for r in prism.selections(ranks, 10).collect()} == {None, 1}
+
+
+def test_partners_like_pairs(spark):
+    """Against all pairs of an episode."""
+    rows = [(1_700_000_000 + 60 * k, f"u{(k * k) % 23 % (1 + k // 9)}", 1, 0) for k in range(150)]
+    log = _log(spark, rows)
+    spans = {}
+    for k, (_, u, *_) in enumerate(rows, 1):
+        spans[u] = (spans.get(u, (k, k))[0], k)
+    expected = {u: sum(v != u and s <= e2 + 5 and s2 <= e + 5 for v, (s2, e2) in spans.items()) for u, (s, e) in spans.items()}
+    assert {r.user: r.partners for r in H.interval_overlaps(log).collect()} == {u: n for u, n in expected.items() if n}
+
+
+def test_running_average_over_blocks(spark):
+    values = [None if k % 7 == 3 else float(k % 11) for k in range(100)]
+    frame = spark.createDataFrame([(j, k, x) for j in (0, None) for k, x in enumerate(values)], "key int, k int, x double")
+    expected = 5.0
+    for x in values:
+        expected = expected if x is None else 0.4 * expected + 0.6 * x
+    for size in (1, 7, 1000):
+        found = H.running_average(frame, ["key"], ["k"], F.floor(F.col("k") / size), "x", 5.0).collect()
+        assert [r.average for r in found] == pytest.approx([expected] * 2) and [r.rows for r in found] == [100, 100]
