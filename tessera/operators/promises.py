@@ -145,8 +145,8 @@ def weekly_dense(slots: DataFrame) -> DataFrame:
     return week_slots(slots.sparkSession).join(slots, "slot", "left").select("idx", "slot", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def weekly_smooth(dense: DataFrame) -> DataFrame:
-    """idx, mean, sd: running over the week; 2016 rows."""
+def weekly_smooth(dense: DataFrame, *keys: str) -> DataFrame:
+    """keys, idx, mean, sd: running over the week; 2016 rows for each series."""
 
     def step(a, x):
         mean = 0.7 * x["v"] + 0.3 * a["mean"]
@@ -154,5 +154,5 @@ def weekly_smooth(dense: DataFrame) -> DataFrame:
         return F.named_struct(F.lit("mean"), mean, F.lit("var"), var, F.lit("out"), F.concat(a["out"], F.array(F.named_struct(F.lit("idx"), x["idx"], F.lit("mean"), mean, F.lit("sd"), F.sqrt(var)))))
 
     zero = F.named_struct(F.lit("mean"), F.lit(0.0), F.lit("var"), F.lit(0.0), F.lit("out"), F.array().cast("array<struct<idx:int,mean:double,sd:double>>"))
-    listed = dense.groupBy().agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("list"))
-    return listed.select(F.explode(F.aggregate("list", zero, step)["out"]).alias("r")).select("r.idx", "r.mean", "r.sd")
+    listed = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("list"))
+    return listed.select(*keys, F.explode(F.aggregate("list", zero, step)["out"]).alias("r")).select(*keys, "r.idx", "r.mean", "r.sd")

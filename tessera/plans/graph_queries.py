@@ -70,7 +70,7 @@ def kv_upsert(spark, sf_dir):
 
 
 def link_keys(spark, sf_dir):
-    links = _links(spark, sf_dir).filter("semantics = 'RELATED'")
+    links = _links(spark, sf_dir)
     return links.select("from_id", "to_id", G.link_key(F.col("from_id"), F.col("semantics"), F.col("to_id")).alias("key"))
 
 
@@ -228,7 +228,7 @@ ORACLES = {
 SELECT id, coalesce(arg_max(data, seq) FILTER (NOT (data = '' AND weight = 0)), arg_min(data, seq)) AS data, coalesce(arg_max(weight, seq) FILTER (NOT (data = '' AND weight = 0)), arg_min(weight, seq)) AS weight FROM v GROUP BY id""",
     "kv_upsert": "SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1",
     "link_keys": f"""WITH {LINKS} SELECT from_id, to_id, 'key_' || CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(from_id || semantics || to_id, ''), lambda c: ascii(c)::HUGEINT)),
-lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616) AS VARCHAR) AS key FROM links WHERE semantics = 'RELATED'""",
+lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616) AS VARCHAR) AS key FROM links""",
     "link_types": f"WITH {LINKS} SELECT link_type, semantics, count(*) AS links FROM links GROUP BY ALL",
     "adjacency_sparse": f"WITH {LINKS}, {_RELATED} SELECT row, col, 1.0::DOUBLE AS val FROM m",
     "power_iter3": f"""WITH {LINKS}, {_RELATED}, v1 AS (SELECT row AS node, count(*)::DOUBLE AS v FROM m GROUP BY row), v2 AS (SELECT row AS node, sum(v) AS v FROM m JOIN v1 ON col = node GROUP BY row),

@@ -55,14 +55,20 @@ def in_order(stream: DataFrame, key: str, columns: list[str], step: Callable, st
 
 
 def rate_limiter(stream: DataFrame, key: str, apart_s: float, **options) -> DataFrame:
-    """key, id, ready: whether nothing of the key was let in within the time before. A request takes a second."""
-
-    def step(last, row):
-        now = row[0].timestamp()
-        ready = last is None or now - last >= apart_s
-        return (now + 1 if ready else last), (row[1], ready)
-
-    return in_order(stream, key, ["ts", "event_id"], step, None, "key string, id long, ready boolean", **options)
+    """key, id, ready: whether nothing of the key was completed within the time before. A request that is let in takes a
+    second, and keeps no other out meanwhile."""
+    apart, takes = int(apart_s * 1e9), 10**9
+
+    def step(state, row):
+        last, running = state
+        now = row[0].value
+        done = [e for e in running if e <= now]
+        if done:
+            last, running = max(done), tuple(e for e in running if e > now)
+        ready = last is None or now - last >= apart
+        return (last, (*running, now + takes) if ready else running), (row[1], ready)
+
+    return in_order(stream, key, ["ts", "event_id"], step, (None, ()), "key string, id long, ready boolean", **options)
 
 
 def promise_states(stream: DataFrame, key: str, value: str = "value", **options) -> DataFrame:
