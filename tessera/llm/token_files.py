@@ -126,7 +126,7 @@ class TextEncoder(WordEncoder):
             yield memoryview(self._pack(found.ids))
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text, or one longer text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
