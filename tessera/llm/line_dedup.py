@@ -1,22 +1,25 @@
 """Fuzzy line dedup (DataFrame functions only).
 
-Lines are normalised to their lower-cased words; equal lines are one node. A node's SimHash has six blocks of 15 bits;
-each word counts in one block alone, chosen by its hash, so a word that is changed, added or left out touches two
-blocks at most and leaves the others as they are. Nodes share a bucket if two of the six blocks are equal (15 pairs of
-blocks, with the number of words in each): by the pigeonhole principle all lines that differ in at most two words, for
-every place where they do, and most that differ in three. Blocks that hold too few words to tell lines apart make no key.
-So short lines have other keys as well: those of at most SHORT characters a SimHash of character pairs, as one letter is
-much of their words, and those of at most FEW words the line without each word that is short enough to be an edit.
+Lines are normalised to their lower-cased words; equal lines are one node. A node's SimHash has six blocks; each word
+counts in one block alone, chosen by its hash, so a word that is changed, added or left out touches two blocks at most
+and leaves the others as they are. A block is told by the bits of its SimHash, its number of words and their least and
+greatest hash. Nodes share a bucket if a block of several words is equal, or two of the smaller ones are: by the
+pigeonhole principle all lines that differ in at most two words, for every place where they do, and most that differ in
+three. Blocks that hold too few words to tell lines apart make no key. So short lines have other keys as well: those of
+at most SHORT characters blocks of character pairs, as one letter is much of their words, and those of at most FEW words
+the line without each word that is short enough to be an edit.
 
 Pairs of a bucket with an edit similarity of 0.8 or more are links: 1 - distance / the longer length, in characters if
 both lines have at most FEW words, else in words, so that a text of 20,000 words without a line break is compared as
 well. Lengths and bitmaps of words, which bound the distance, come first. Of each connected group one occurrence stays,
-the first by document and line. Within a bucket all nodes are paired with one, drawn by hash; where a bucket still holds
+the first by document and line. Within a bucket all nodes are paired with the least, as nodes are hashes; where a bucket still holds
 several components, the nodes outside its largest are compared with those of other components: no link of a bucket is
 lost. That is quadratic in a bucket of many lines that share a third of their words, but are not alike.
 
-Texts are normalised once and written as lines. A line that every document has is counted before it is shuffled, and
-joined so that it can be split. Candidate keys are a long each; only those that several nodes have are looked up again.
+Texts are normalised once and written as lines. Keys are made within the row of a line, whose words are never shuffled,
+but for lines of very many words; a key that several nodes have is found by its least and greatest node, so copies need
+not be told apart first. A line that every document has is counted before it is shuffled, and joined so that it can be
+split. Candidate keys are a long each; only those that several nodes have are looked up again.
 
 Defined results: null texts and lines without a word have nothing to remove; rows that are equal in id and text are
 one document; rows without an id come last in order; an empty table gives an empty result. Other columns pass through.
@@ -34,12 +37,17 @@ from tessera.operators.components import connected_components, joined_components
 from tessera.runtime import materialize, release, small, table
 
 SIMILARITY = 0.8
-#: Blocks of a SimHash and bits in each; three counters of WIDTH bits are summed in one long.
+#: Of lines that are keyed within their row: words at most; hashes of a block that its SimHash counts, in longs of lanes of bits.
+MOST, MOST_OF_BLOCK, LONGS, LANES, LANE = 1023, 63, 3, 9, 7
+ONES = sum(1 << (LANE * k) for k in range(LANES))
+#: Blocks of a SimHash and, of longer lines, bits in each; three counters of WIDTH bits are summed in one long.
 BLOCKS, BITS, PER_COUNTER, WIDTH = 6, 15, 3, 21
 #: Characters of lines that have a SimHash of character pairs as well, and words of those with keys that leave a word out.
 SHORT, FEW = 80, 12
 #: Features that two blocks must hold for a key, by kind of feature: words and character pairs.
 LEAST = {"w": 3, "c": 3}
+#: Features of a block that makes a key alone.
+ALONE = {"w": 5, "c": 8}
 #: Bits of the bitmap of a line's words, or of the character pairs of a line of FEW words, in longs of 64.
 MAP = 256
 #: Keys or nodes that are broadcast at most.
@@ -87,16 +95,65 @@ def simhash(features: DataFrame) -> DataFrame:
     return summed.select("node", F.array(*map(bits, range(BLOCKS))).alias("sim"), F.array(*[F.col(f"n{b}") for b in range(BLOCKS)]).alias("counts"))
 
 
-def block_keys(kind: str) -> Column:
-    """A key for each pair of blocks with enough features: of the pair, both blocks' bits and sizes."""
+def block_keys() -> Column:
+    """Of a long line: a key for each pair of blocks with enough words: of the pair, both blocks' bits and sizes."""
     keys = []
     for n, (x, y) in enumerate(combinations(range(BLOCKS), 2)):
         parts = [F.get(c, F.lit(k)) for c in ("sim", "counts") for k in (x, y)]
-        some = (parts[2] + parts[3] >= LEAST[kind]) & parts[0].isNotNull() & parts[1].isNotNull()
-        keys.append(F.when(some, F.xxhash64(F.lit(f"{kind}{n}"), *parts)))
+        some = (parts[2] + parts[3] >= LEAST["w"]) & parts[0].isNotNull() & parts[1].isNotNull()
+        keys.append(F.when(some, F.xxhash64(F.lit(f"long{n}"), *parts)))
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
+def table_of(values: list[int]) -> Column:
+    return F.array(*[F.lit(x).cast("bigint") for x in values])
+
+
+def row_keys(features: DataFrame, kinds: str, *others: str) -> DataFrame:
+    """`others`, and keys_<kind> of each of `kinds`: bucket keys from the column of that name, the sorted hashes of a line's features.
+
+    Without a shuffle. Null for more than MOST features. Hashes in order fall into BLOCKS ranges. A block's SimHash, of its
+    least MOST_OF_BLOCK hashes, is counted in lanes of a long, whose highest bit is set once what is added to it is more
+    than half of them. A key holds a block's bits, size, least and greatest hash: of one block if it has ALONE features
+    or more, of a pair of smaller ones if they have LEAST together.
+    """
+    half, low = F.lit(ONES << (LANE - 1)).cast("bigint"), F.lit((1 << LANES) - 1).cast("bigint")
+    spread = table_of([sum(1 << (LANE * k) for k in range(LANES) if x >> k & 1) for x in range(1 << LANES)])
+    ones = table_of([1 << (10 * b) for b in range(BLOCKS)])
+    zero, blocks = F.lit(0).cast("bigint"), range(BLOCKS)
+
+    def counted(total: Column, h: Column) -> Column:
+        block = F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31).cast("bigint")) * BLOCKS, 32)
+        return total + F.get(ones, block.cast("int"))
+
+    def lanes(k: int):
+        return lambda total, h: total + F.get(spread, F.shiftrightunsigned(h, LANES * k).bitwiseAND(low).cast("int"))
+
+    def size(kind: str, b: int) -> Column:
+        return F.shiftright(f"{kind}_sizes", 10 * b).bitwiseAND(F.lit(1023).cast("bigint")).cast("int")
+
+    def cut(kind: str, b: int) -> Column:
+        return F.slice(kind, sum((size(kind, k) for k in range(b)), F.lit(1)), size(kind, b))
+
+    def printed(kind: str, b: int) -> Column:
+        block = f"{kind}_{b}"
+        least = F.slice(block, F.lit(1), F.lit(MOST_OF_BLOCK))
+        above = F.lit(ONES).cast("bigint") * (F.lit(MOST_OF_BLOCK).cast("bigint") - F.shiftright(F.size(least).cast("bigint"), 1))
+        bits = [(F.aggregate(least, zero, lanes(k)) + above).bitwiseAND(half) for k in range(LONGS)]
+        return F.xxhash64(F.lit(block), F.size(block), F.get(block, F.lit(0)), F.get(block, F.size(block) - 1), *bits)
+
+    def keys(kind: str) -> Column:
+        n, p = [f"{kind}_n{b}" for b in blocks], [f"{kind}_p{b}" for b in blocks]
+        alone = [F.when(F.col(n[b]) >= ALONE[kind], F.col(p[b])) for b in blocks]
+        pairs = [F.when((F.col(n[x]) + F.col(n[y]) >= LEAST[kind]) & (F.greatest(n[x], n[y]) < ALONE[kind]), F.xxhash64(p[x], p[y])) for x, y in combinations(blocks, 2)]
+        return F.filter(F.array(*alone, *pairs), lambda k: k.isNotNull()).alias(f"keys_{kind}")
+
+    sized = features.select(*others, *kinds, *[F.when(F.size(x) <= MOST, F.aggregate(x, zero, counted)).alias(f"{x}_sizes") for x in kinds])
+    blocked = sized.select(*others, *[cut(x, b).alias(f"{x}_{b}") for x in kinds for b in blocks])
+    prints = blocked.select(*others, *[c for x in kinds for b in blocks for c in (F.size(f"{x}_{b}").alias(f"{x}_n{b}"), printed(x, b).alias(f"{x}_p{b}"))])
+    return prints.select(*others, *map(keys, kinds))
+
+
 def word_keys(line: str) -> Column:
     """Of lines of FEW words or fewer: a key of the line, and of the line without each word of up to a third of it."""
 
@@ -117,18 +174,25 @@ def character_pairs(line: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(edged) - 1), lambda i: F.substring(edged, i, F.lit(2)))
 
 
-def sketches(lines: DataFrame) -> DataFrame:
-    """node, kind (w: words, c: character pairs), sim, counts: SimHashes of distinct lines (node, ld_line)."""
-    words = lines.select("node", F.explode(F.split("ld_line", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
-    grams = lines.filter(F.length("ld_line") <= SHORT).select("node", F.explode(character_pairs("ld_line")).alias("gram")).select("node", F.xxhash64("gram").alias("h"))
-    return simhash(words).withColumn("kind", F.lit("w")).unionByName(simhash(grams).withColumn("kind", F.lit("c")))
+def hashes(features: Column) -> Column:
+    return F.sort_array(F.transform(features, lambda x: F.xxhash64(x)))
 
 
-def keys_of(lines: DataFrame, sketched: DataFrame) -> DataFrame:
-    """key, node: the bucket keys of lines, from their sketches and, of short ones, their words."""
-    keys = F.when(F.col("kind") == "w", block_keys("w")).otherwise(block_keys("c"))
-    short = lines.filter(F.regexp_count("ld_line", F.lit(" ")) < FEW).select("node", "ld_line").distinct()
-    return sketched.select("node", F.explode(keys).alias("key")).unionByName(short.select("node", F.explode(word_keys("ld_line")).alias("key")))
+def keys_of(lines: DataFrame) -> DataFrame:
+    """node, keys (an array): the bucket keys of lines (node, ld_line), a row or more for each.
+
+    Lines of up to MOST words are keyed within their row; longer ones, and those that may be like a longer one, by sums
+    over their words.
+    """
+    pairs = F.when(F.length("ld_line") <= SHORT, hashes(character_pairs("ld_line")))
+    within = lines.select("node", "ld_line", hashes(F.split("ld_line", " ")).alias("w"), pairs.alias("c"))
+    within = row_keys(within.withColumn("few", F.when(F.size("w") <= FEW, word_keys("ld_line"))), "wc", "node", "few")
+    none = F.array().cast("array<bigint>")
+    within = within.select("node", F.concat(*[F.coalesce(c, none) for c in ("keys_w", "keys_c", "few")]).alias("keys"))
+    words = F.octet_length("ld_line") - F.octet_length(F.replace("ld_line", F.lit(" "), F.lit(""))) + 1
+    long = lines.filter((F.octet_length("ld_line") >= 2 * SIMILARITY * MOST - 1) & (words >= SIMILARITY * MOST)).select("node", "ld_line").distinct()
+    long = simhash(long.select("node", F.explode(F.split("ld_line", " ")).alias("word")).select("node", F.xxhash64("word").alias("h")))
+    return within.unionByName(long.select("node", block_keys().alias("keys")))
 
 
 def described(lines: DataFrame) -> DataFrame:
@@ -139,12 +203,16 @@ def described(lines: DataFrame) -> DataFrame:
     words = F.split("ld_line", " ")
     codes = F.transform(words, lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF).cast("bigint"))), 4, "0"))
     signs = F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
-    sizes = lines.select("node", F.length("ld_line").alias("n"), F.size(words).alias("words"), F.when(F.size(words) <= FEW, F.col("ld_line")).alias("line"), signs.alias("signs"))
+    sizes = [F.length("ld_line").alias("n"), F.size(words).alias("words"), F.when(F.size(words) <= FEW, F.col("ld_line")).alias("line"), signs.alias("signs")]
     features = F.when(F.size(words) <= FEW, character_pairs("ld_line")).otherwise(words)
-    each = lines.select("node", F.explode(features).alias("x")).select("node", F.pmod(F.xxhash64("x"), F.lit(MAP)).cast("int").alias("bit"))
-    zero = F.lit(0).cast("bigint")
-    bits = [F.bit_or(F.when(F.shiftright("bit", 6) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)).otherwise(zero)).alias(f"map{k}") for k in range(MAP // 64)]
-    return sizes.join(each.groupBy("node").agg(*bits), "node")
+    made = lines.select("node", *sizes, F.transform(features, lambda x: F.pmod(F.xxhash64(x), F.lit(MAP)).cast("int")).alias("bits"))
+
+    def bitmap(k: int) -> Column:
+        # The highest bit of a long is its sign.
+        own = table_of([(1 << j) - (1 << 64) * (j == 63) if 0 <= j < 64 else 0 for j in range(-64 * k, MAP - 64 * k)])
+        return F.aggregate("bits", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.get(own, x)))
+
+    return made.select("node", "n", "words", "line", "signs", *[bitmap(k).alias(f"map{k}") for k in range(MAP // 64)])
 
 
 def similar_lengths(a, b, similarity: float = SIMILARITY) -> Column:
@@ -187,11 +255,13 @@ def similar(similarity: float = SIMILARITY) -> Column:
 
 def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, component: of the distinct lines that are linked to another; `lines` has each (node, ld_line) once or more."""
-    sketched = materialize(sketches(lines.select("node", "ld_line").distinct()), "line-sketches")
-    keyed = keys_of(lines, sketched)  # not written: cheaper to make again than to keep
-    shared = small(materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"), "line-shared"), KEYS)
-    members = materialize(keyed.join(shared, "key", "left_semi"), "line-members")
-    release(sketched)
+    keyed = materialize(keys_of(lines), "line-keys")
+    each = keyed.select("node", F.explode("keys").alias("key"))
+    # Of each key that several nodes have, one of them: nodes are hashes, so the least is as good as drawn.
+    shared = each.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("center < other").select("key", "center")
+    shared = small(materialize(shared, "line-shared"), KEYS)
+    members = materialize(each.join(shared, "key").distinct(), "line-members")
+    release(keyed)
     wanted = small(materialize(members.select("node").distinct(), "line-wanted"), KEYS)
     texts = materialize(described(lines.select("node", "ld_line").join(wanted, "node", "left_semi").distinct()), "line-texts")
     maps = [f"map{k}" for k in range(MAP // 64)]
@@ -206,11 +276,10 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-    centers = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("center"))
-    stars = members.join(centers, "key").filter("node <> center").select(*ordered("node", "center"))
+    stars = members.filter("node <> center").select(*ordered("node", "center"))
     labels = materialize(connected_components(confirm(stars)), "line-labels")
     # Buckets that still hold several components; a row for each component first, whatever its members.
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.select("key", "node").join(small(labels, KEYS), "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
     largest = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("own", "component")).alias("largest"))
     largest = materialize(largest.filter("low < high").select("key", "largest"), "line-open")
@@ -227,12 +296,13 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """ld_id, ld_hash, ld_gone (numbers of lines to remove, sorted): of documents with any."""
     lines = materialize(lines_of(docs, doc_id, text), "lines")
     labels = groups(lines, similarity)
-    # Rows that are equal in id and text are one document.
-    joined = lines.select("ld_id", "ld_hash", "ld_at", "node").distinct().join(labels, "node", "left")
+    joined = lines.select("ld_id", "ld_hash", "ld_at", "node").join(small(labels, KEYS), "node", "left")
     placed = joined.select("ld_id", "ld_hash", "ld_at", F.coalesce("component", "node").alias("group"))
     order = F.struct(F.col("ld_id").isNull().alias("no_id"), "ld_id", "ld_hash", "ld_at")
-    first = placed.groupBy("group").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first")).filter("times > 1").drop("times")
-    first = small(materialize(first, "line-first"), KEYS)
+    # Rows that are equal in id and text are one document: their lines have the same place, and none goes for another.
+    times = placed.groupBy("group").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("group")
+    again = placed.join(small(materialize(times, "line-times"), KEYS), "group", "left_semi")
+    first = small(materialize(again.groupBy("group").agg(F.min(order).alias("first")), "line-first"), KEYS)
     gone = placed.join(first, "group").filter(order != F.col("first"))
     return gone.groupBy("ld_id", "ld_hash").agg(F.array_sort(F.collect_set("ld_at")).alias("ld_gone"))
 

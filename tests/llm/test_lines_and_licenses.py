@@ -90,6 +90,26 @@ def test_similar(spark):
     assert 50 < sum(near for _, near in found.values()) < 250
 
 
+def test_unlike_lines_share_few_buckets(spark, monkeypatch):
+    """Of real lines, few stand in buckets beside what they are not like: such pairs grow with the square of the lines."""
+    made, one = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda frame, name: made.setdefault(name, one(frame, name)))
+    lines = line_dedup.lines_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("node", "ld_line")
+    linked = line_dedup.groups(lines).count()
+    assert made["line-wanted"].count() < 1.55 * linked, (made["line-wanted"].count(), linked)
+
+
+def test_row_keys(spark):
+    """Equal words give equal keys in whatever order; a word replaced leaves some; null and very long lines have none here."""
+    a = [f"word{k}" for k in range(40)]
+    rows = {1: a, 2: a[::-1], 3: [*a[:7], "other", *a[8:]], 4: [f"x{k}" for k in range(40)], 5: a * 30, 6: ["same"] * 400, 7: ["same"] * 401}
+    lines = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "node long, ld_line string")
+    made = line_dedup.row_keys(lines.select("node", line_dedup.hashes(F.split("ld_line", " ")).alias("w")), "w", "node")
+    keys = {r.node: set(r.keys_w) for r in made.collect()}
+    assert keys[1] == keys[2] and keys[1] & keys[3] and keys[1] != keys[3] and not keys[1] & keys[4]
+    assert keys[5] == set() and len(keys[6]) == 1 and not keys[6] & keys[7]
+
+
 def test_very_long_lines(spark):
     """Texts of 20,000 words without a line break are one line each; near copies are found in time that grows with the line."""
     words = [f"word{i * 7919 % 20011}" for i in range(20000)]
