@@ -1,9 +1,9 @@
 """Fuzzy line dedup (DataFrame functions only).
 
-Lines are normalised to their lower-cased words; equal lines are one node. A node's SimHash has six blocks; each word
+Lines are normalised to their lower-cased words; equal lines are one node. A node has six blocks; each word
 counts in one block alone, chosen by its hash, so a word that is changed, added or left out touches two blocks at most
-and leaves the others as they are. A block is told by the bits of its SimHash, its number of words and their least and
-greatest hash. Nodes share a bucket if a block of several words is equal, or two of the smaller ones are: by the
+and leaves the others as they are. A block, or a part of it that holds enough, is told by the hash of all its words; of
+lines of very many words by the bits of its SimHash. Nodes share a bucket if a block of several words is equal, or two of the smaller ones are: by the
 pigeonhole principle all lines that differ in at most two words, for every place where they do, and most that differ in
 three. Blocks that hold too few words to tell lines apart make no key. So short lines have other keys as well: those of
 at most SHORT characters blocks of character pairs, as one letter is much of their words, and those of at most FEW words
@@ -37,23 +37,24 @@ from tessera.operators.components import connected_components, joined_components
 from tessera.runtime import materialize, release, small, table
 
 SIMILARITY = 0.8
-#: Of lines that are keyed within their row: words at most; hashes of a block that its SimHash counts, in longs of lanes of bits.
-MOST, MOST_OF_BLOCK, LONGS, LANES, LANE = 1023, 63, 3, 9, 7
-ONES = sum(1 << (LANE * k) for k in range(LANES))
-#: Blocks of a SimHash and, of longer lines, bits in each; three counters of WIDTH bits are summed in one long.
+#: Words of lines that are keyed within their row, at most.
+MOST = 1023
+#: Blocks of a line and, of very long lines, of a SimHash and, of longer lines, bits in each; three counters of WIDTH bits are summed in one long.
 BLOCKS, BITS, PER_COUNTER, WIDTH = 6, 15, 3, 21
 #: Characters of lines that have a SimHash of character pairs as well, and words of those with keys that leave a word out.
 SHORT, FEW = 80, 12
 #: Features that two blocks must hold for a key, by kind of feature: words and character pairs.
 LEAST = {"w": 3, "c": 3}
-#: Features of a block that makes a key alone.
+#: Parts of a block, each a key of its own if it has enough: few of a long line's blocks are without any edit.
+PARTS = {"w": 3, "c": 1}
+#: Features of a block, or a part, that makes a key alone.
 ALONE = {"w": 5, "c": 8}
 #: Bits of the bitmap of a line's words, or of the character pairs of a line of FEW words, in longs of 64.
 MAP = 256
 #: Keys or nodes that are broadcast at most.
 KEYS = 500_000
-#: What parts words: all in ASCII but letters, digits and line feeds. Texts are lower-cased first.
-MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words: all in ASCII but letters, digits and line feeds. Texts are lower-cased first. A lone space is as it should be.
+MARKS = r"[\x00-\x09\x0B-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F][\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+| [\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]++"
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,46 +113,56 @@ def table_of(values: list[int]) -> Column:
 def row_keys(features: DataFrame, kinds: str, *others: str) -> DataFrame:
     """`others`, and keys_<kind> of each of `kinds`: bucket keys from the column of that name, the sorted hashes of a line's features.
 
-    Without a shuffle. Null for more than MOST features. Hashes in order fall into BLOCKS ranges. A block's SimHash, of its
-    least MOST_OF_BLOCK hashes, is counted in lanes of a long, whose highest bit is set once what is added to it is more
-    than half of them. A key holds a block's bits, size, least and greatest hash: of one block if it has ALONE features
-    or more, of a pair of smaller ones if they have LEAST together.
+    Without a shuffle. None for more than MOST features. Hashes in order fall into BLOCKS ranges of PARTS each, told apart
+    by the least hash of each but the first, which is sorted in among them. A key is the hash of all that a part holds, if
+    that is ALONE different features or more; of a block of ALONE features or more without such a part; or of a pair of smaller blocks, if they
+    hold LEAST together. Lambdas, which Spark interprets, go through blocks, not words; written out for each block, the
+    code is too long for the JVM to compile, and slower.
     """
-    half, low = F.lit(ONES << (LANE - 1)).cast("bigint"), F.lit((1 << LANES) - 1).cast("bigint")
-    spread = table_of([sum(1 << (LANE * k) for k in range(LANES) if x >> k & 1) for x in range(1 << LANES)])
-    ones = table_of([1 << (10 * b) for b in range(BLOCKS)])
-    zero, blocks = F.lit(0).cast("bigint"), range(BLOCKS)
+    none = F.array().cast("array<bigint>")
+    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in combinations(range(BLOCKS), 2)])
+
+    def edges(kind: str) -> list[int]:
+        ranges = BLOCKS * PARTS[kind]
+        return [(k << 64) // ranges - (1 << 63) for k in range(1, ranges)]
+
+    def starts(kind: str) -> Column:
+        places = [F.array_position(kind, F.lit(x).cast("bigint")).cast("int") for x in edges(kind)]
+        return F.when(F.col(kind).isNotNull(), F.array(F.lit(0), *places, F.size(kind) + 1))
 
-    def counted(total: Column, h: Column) -> Column:
-        block = F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31).cast("bigint")) * BLOCKS, 32)
-        return total + F.get(ones, block.cast("int"))
+    def blocks(kind: str) -> Column:
+        at = lambda k: F.get(f"{kind}_at", k)
 
-    def lanes(k: int):
-        return lambda total, h: total + F.get(spread, F.shiftrightunsigned(h, LANES * k).bitwiseAND(low).cast("int"))
+        def block(b: Column) -> Column:
+            first = b * PARTS[kind]
+            size = at(first + PARTS[kind]) - at(first) - 1
 
-    def size(kind: str, b: int) -> Column:
-        return F.shiftright(f"{kind}_sizes", 10 * b).bitwiseAND(F.lit(1023).cast("bigint")).cast("int")
+            def made(held: Column) -> Column:
+                def part(k: Column) -> Column:
+                    own = F.slice(held, at(first + k) - at(first) + 1, at(first + k + 1) - at(first + k) - 1)
+                    return let(own, lambda x: F.when(F.size(F.array_distinct(x)) >= ALONE[kind], F.xxhash64(F.lit(kind), b, k, x)))
 
-    def cut(kind: str, b: int) -> Column:
-        return F.slice(kind, sum((size(kind, k) for k in range(b)), F.lit(1)), size(kind, b))
+                whole, n = F.xxhash64(F.lit(kind), b, held), size - (PARTS[kind] - 1)
+                parts = F.filter(F.transform(F.array(*map(F.lit, range(PARTS[kind]))), part), lambda x: x.isNotNull())
+                alone = F.when(n >= ALONE[kind], let(parts, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(whole)))).otherwise(none)
+                return F.struct(n.alias("n"), whole.alias("p"), alone.alias("alone"))
 
-    def printed(kind: str, b: int) -> Column:
-        block = f"{kind}_{b}"
-        least = F.slice(block, F.lit(1), F.lit(MOST_OF_BLOCK))
-        above = F.lit(ONES).cast("bigint") * (F.lit(MOST_OF_BLOCK).cast("bigint") - F.shiftright(F.size(least).cast("bigint"), 1))
-        bits = [(F.aggregate(least, zero, lanes(k)) + above).bitwiseAND(half) for k in range(LONGS)]
-        return F.xxhash64(F.lit(block), F.size(block), F.get(block, F.lit(0)), F.get(block, F.size(block) - 1), *bits)
+            return let(F.slice(kind, at(first) + 1, size), made)
+
+        return F.when(F.col(kind).isNotNull(), F.transform(F.array(*map(F.lit, range(BLOCKS))), block))
 
     def keys(kind: str) -> Column:
-        n, p = [f"{kind}_n{b}" for b in blocks], [f"{kind}_p{b}" for b in blocks]
-        alone = [F.when(F.col(n[b]) >= ALONE[kind], F.col(p[b])) for b in blocks]
-        pairs = [F.when((F.col(n[x]) + F.col(n[y]) >= LEAST[kind]) & (F.greatest(n[x], n[y]) < ALONE[kind]), F.xxhash64(p[x], p[y])) for x, y in combinations(blocks, 2)]
-        return F.filter(F.array(*alone, *pairs), lambda k: k.isNotNull()).alias(f"keys_{kind}")
-
-    sized = features.select(*others, *kinds, *[F.when(F.size(x) <= MOST, F.aggregate(x, zero, counted)).alias(f"{x}_sizes") for x in kinds])
-    blocked = sized.select(*others, *[cut(x, b).alias(f"{x}_{b}") for x in kinds for b in blocks])
-    prints = blocked.select(*others, *[c for x in kinds for b in blocks for c in (F.size(f"{x}_{b}").alias(f"{x}_n{b}"), printed(x, b).alias(f"{x}_p{b}"))])
-    return prints.select(*others, *map(keys, kinds))
+        def pair(at: Column) -> Column:
+            x, y = (F.get(kind, at[side]) for side in "xy")
+            return F.when((x["n"] + y["n"] >= LEAST[kind]) & (F.greatest(x["n"], y["n"]) < ALONE[kind]), F.xxhash64(x["p"], y["p"]))
+
+        alone = F.flatten(F.transform(kind, lambda b: b["alone"]))
+        return F.coalesce(F.array_except(F.concat(alone, F.transform(pairs, pair)), F.array(F.lit(None).cast("bigint"))), none)
+
+    ordered = features.select(*others, *[F.when(F.size(x) <= MOST, F.sort_array(F.concat(x, table_of(edges(x))))).alias(x) for x in kinds])
+    placed = ordered.select(*others, *kinds, *[starts(x).alias(f"{x}_at") for x in kinds])
+    blocked = placed.select(*others, *[blocks(x).alias(x) for x in kinds])
+    return blocked.select(*others, *[keys(x).alias(f"keys_{x}") for x in kinds])
 
 
 def word_keys(line: str) -> Column:

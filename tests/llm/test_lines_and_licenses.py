@@ -110,6 +110,19 @@ def test_row_keys(spark):
     assert keys[5] == set() and len(keys[6]) == 1 and not keys[6] & keys[7]
 
 
+def test_long_lines_of_several_edits(spark):
+    """Ten words of 150 replaced, at any places: edits in every block of a line leave some of its parts as they are."""
+    random, rows = Random(5), []
+    for k in range(40):
+        a = [f"w{random.randrange(10**6)}" for _ in range(150)]
+        b = [*a]
+        for at in random.sample(range(150), 10):
+            b[at] = f"w{random.randrange(10**6)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    found = {r.doc_id for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text = ''").collect()}
+    assert all(k % 2 for k in found) and len(found) >= 38, found
+
+
 def test_very_long_lines(spark):
     """Texts of 20,000 words without a line break are one line each; near copies are found in time that grows with the line."""
     words = [f"word{i * 7919 % 20011}" for i in range(20000)]
