@@ -1,8 +1,8 @@
 """Text as a process: sentences, n-grams, intentionality, legs, persistent concepts.
 
-Documents are dealt once by their id; sentences, n-grams and the counts within a document then need no other
-shuffle. Counts that run through all documents in order of id are prefix sums in two levels: over blocks of ids,
-then within a block, so an n-gram that every document has is not one task's work.
+Cleaning, words and n-grams of many documents go over arrays (functions.grams); counts that run through all documents in
+order of id are prefix sums over ranges of ids (operators.running). The columns below that say the same of one text, by
+patterns, are for single sentences and short texts.
 
 Defined results: null texts have no sentence; a null id is an id, before all others; rows that share an id are read as
 one document, their n-grams counted together; other columns are left out; empty tables give empty results.
@@ -10,15 +10,16 @@ one document, their n-grams counted together; other columns are left out; empty
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CUTOFF, LEG, LEVELS, MIN_BYTES, MIN_COUNT, clean, intentionality, let, ngrams, split_sentences, words
-from tessera.runtime import join_null_safe, materialize, small
+from tessera.operators import running as R
+from tessera.runtime import join_null_safe
 
 BLOCK = 1 << 16
-#: Hashes of n-grams that are broadcast at most: 16 MB.
-HASHES = 2_000_000
 
 
 def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern: str = r"[^\n]#", cleaned: bool = False) -> DataFrame:
@@ -44,17 +45,6 @@ def running_before(frame: DataFrame, keys: list[str], order: str, value: str, na
     return blocked.withColumn("inner", inner).join(before, [*keys, "block"]).withColumn(name, F.col("inner") + F.col("before_block")).drop("block", "inner", "before_block")
 
 
-def frequent(sents: DataFrame) -> DataFrame:
-    """The occurrences of n-grams that all documents together hold MIN_COUNT times or more: no other has any intent.
-
-    Counts go by a 64-bit hash; where two n-grams share one, some that are rarer stay, and have no intent either.
-    """
-    found = occurrences(sents).filter(F.octet_length("ngram") >= MIN_BYTES).withColumn("h", F.xxhash64("n", "ngram"))
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= MIN_COUNT).select("h")
-    often = small(materialize(often, "often"), HASHES)
-    return materialize(found.join(often, "h", "left_semi").drop("h"), "frequent")
-
-
 def per_document(found: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n, ngram, own (count), first, last (sentences), spread (distinct sentences) of occurrences."""
     return found.groupBy("doc_id", "n", "ngram").agg(
@@ -62,30 +52,94 @@ def per_document(found: DataFrame) -> DataFrame:
     )
 
 
-def topics(docs: DataFrame, leg: int = LEG, cutoff: float = CUTOFF, **columns) -> DataFrame:
-    """doc_id, n, ngram, intent: concepts that persist through a document, by the counts so far through all documents."""
-    known = per_document(frequent(materialize(sentences(docs, **columns), "sentences")))
-    counted = running_before(known, ["n", "ngram"], "doc_id", "own", "before")
-    scored = counted.withColumn("intent", intentionality(F.col("before") + F.col("own"), F.col("ngram"), F.col("n_sentences"), leg))
-    gap = F.col("last") / F.col("own")
-    return scored.filter((F.col("intent") >= cutoff) & (F.col("own") == F.col("spread")) & (F.col("first") > 0) & (gap > 3) & (gap < 4 * leg)).select("doc_id", "n", "ngram", F.round("intent", 6).alias("intent"))
+def _value(count: np.ndarray, size: np.ndarray, sentences: np.ndarray, leg: int) -> np.ndarray:
+    """functions.text.intentionality of n-grams of MIN_BYTES or more, over arrays."""
+    rate = count / float(leg)
+    with np.errstate(over="ignore"):
+        value = rate * size / (1 + np.exp(rate - sentences / float(leg)))
+    return np.where(count < MIN_COUNT, 0.0, value)
 
 
-def sentence_ranks(docs: DataFrame, leg: int = LEG, **columns) -> DataFrame:
+def _documents(c: R.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk: where each document's occurrences of an n-gram begin, and how many they are."""
+    new = np.ones(len(c.entry), bool)
+    new[1:] = (c.entry[1:] != c.entry[:-1]) | (c.group[1:] != c.group[:-1])
+    at = np.flatnonzero(new)
+    return at, np.diff(at, append=len(new))
+
+
+def topics(docs: DataFrame, leg: int = LEG, cutoff: float = CUTOFF, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n, ngram, intent: concepts that persist through a document, by the counts so far through all documents."""
+
+    def make(c: R.Chunk, before: np.ndarray) -> pyarrow.Table:
+        at, own = _documents(c)
+        count = before[c.entry[at]] + at - c.first[c.entry[at]] + own
+        new = np.ones(len(c.entry), bool)
+        new[1:] = c.sentence[1:] != c.sentence[:-1]
+        new[at] = True
+        spread = np.add.reduceat(new.astype(np.int64), at) if len(at) else own
+        last, sentences = c.sentence[at + own - 1], c.sentences[c.row[at]] + 1
+        # The gap, last / own, is over 3 and under 4 legs; the intent is computed once more below, where it is rounded.
+        kept = (own == spread) & (last > 3 * own) & (last < 4 * leg * own) & (_value(count, c.bytes[at], sentences, leg) >= cutoff - 1e-9 * abs(cutoff))
+        at = at[kept]
+        return pyarrow.table({"doc_id": c.ids.take(pyarrow.array(c.row[at])), "n": c.n[at], "ngram": c.text(at), "count": count[kept], "n_sentences": sentences[kept]})
+
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n int, ngram string, count long, n_sentences long"
+    known = R.with_answers(docs, R.counts_before, make, schema, LEVELS, MIN_BYTES, doc_id, text)
+    scored = known.withColumn("intent", intentionality(F.col("count"), F.col("ngram"), F.col("n_sentences"), leg))
+    return scored.filter(F.col("intent") >= cutoff).select("doc_id", "n", "ngram", F.round("intent", 6).alias("intent"))
+
+
+def sentence_ranks(docs: DataFrame, leg: int = LEG, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_sentences, s_idx, rank: sums of the intentionality of each sentence's n-grams at the counts so far,
     raised towards both ends of the document. The empty first sentence (s_idx 0) has rank 0."""
-    sents = materialize(sentences(docs, **columns), "sentences")
-    found = frequent(sents)
-    own = found.groupBy("doc_id", "n", "ngram").agg(F.count(F.lit(1)).alias("own"))
-    before = running_before(own, ["n", "ngram"], "doc_id", "own", "before").drop("own")
-    within = found.withColumn("inner", F.row_number().over(Window.partitionBy("doc_id", "n", "ngram").orderBy("s_idx", "pos")))
-    scored = join_null_safe(within, before, ["doc_id", "n", "ngram"]).withColumn("score", intentionality(F.col("before") + F.col("inner"), F.col("ngram"), F.col("n_sentences"), leg))
-    ranked = scored.groupBy("doc_id", "s_idx").agg(F.sum("score").alias("score"))
-    first = sents.groupBy("doc_id").agg(F.first("n_sentences").alias("n_sentences")).withColumn("s_idx", F.lit(0))
-    every = first.unionByName(sents.select("doc_id", "n_sentences", "s_idx"))
+
+    def make(c: R.Chunk, before: np.ndarray) -> pyarrow.Table:
+        count = before[c.entry] + np.arange(len(c.entry)) - c.first[c.entry] + 1
+        value = _value(count, c.bytes, c.sentences[c.row] + 1, leg)
+        # Rows that share an id are one document: a slot for each of its sentences, which each row reads.
+        most = np.zeros(int(c.groups[-1]) + 1 if len(c.groups) else 0, np.int64)
+        np.maximum.at(most, c.groups, c.sentences)
+        base = np.cumsum(most) - most
+        score = np.bincount(base[c.group] + c.sentence - 1, value, int(most.sum())) if len(most) else np.zeros(0)
+        rows = np.repeat(np.arange(len(c.sentences)), c.sentences)
+        s_idx = np.arange(len(rows)) - np.repeat(np.cumsum(c.sentences) - c.sentences, c.sentences) + 1
+        own = score[base[c.groups[rows]] + s_idx - 1] if len(rows) else np.zeros(0)
+        some = np.flatnonzero(c.sentences)
+        heads = some[np.unique(c.groups[some], return_index=True)[1]]
+        rows, s_idx, own = np.concatenate([heads, rows]), np.concatenate([np.zeros(len(heads), np.int64), s_idx]), np.concatenate([np.zeros(len(heads)), own])
+        return pyarrow.table({"doc_id": c.ids.take(pyarrow.array(rows)), "n_sentences": (c.sentences[rows] + 1).astype(np.int32), "s_idx": s_idx.astype(np.int32), "score": own})
+
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_sentences int, s_idx int, score double"
+    every = R.with_answers(docs, R.counts_before, make, schema, LEVELS, MIN_BYTES, doc_id, text)
     middle = F.floor(F.col("n_sentences") / 2)
     scale = F.when(middle == 0, F.lit(1.0)).otherwise(1 + (middle - F.col("s_idx")) * (middle - F.col("s_idx")) / (middle * middle))
-    return join_null_safe(every, ranked, ["doc_id", "s_idx"], "left").select("doc_id", "n_sentences", "s_idx", F.round(F.coalesce("score", F.lit(0.0)) * scale, 6).alias("rank"))
+    return every.select("doc_id", "n_sentences", "s_idx", F.round(F.col("score") * scale, 6).alias("rank"))
+
+
+def ngram_counts(docs: DataFrame, least: int = MIN_COUNT, levels=LEVELS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """n, ngram, count: of n-grams that all documents together have so often; the first chunk that has one gives its words."""
+
+    def make(c: R.Chunk, total: np.ndarray) -> pyarrow.Table:
+        kept = np.flatnonzero(total)
+        at = c.first[kept]
+        return pyarrow.table({"n": c.n[at], "ngram": c.text(at), "count": total[kept]})
+
+    return R.with_answers(docs, R.total_at_first(least), make, "n int, ngram string, count long", levels, 1, doc_id, text)
+
+
+def own_intents(docs: DataFrame, leg: int = LEG, levels=LEVELS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n, ngram, own, intent: of n-grams by their counts within each document, where there is any intent."""
+
+    def make(c: R.Chunk) -> pyarrow.Table:
+        at, own = _documents(c)
+        kept = own >= MIN_COUNT
+        at, own = at[kept], own[kept]
+        return pyarrow.table({"doc_id": c.ids.take(pyarrow.array(c.row[at])), "n": c.n[at], "ngram": c.text(at), "own": own, "n_sentences": c.sentences[c.row[at]] + 1})
+
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n int, ngram string, own long, n_sentences long"
+    found = R.alone(docs, make, schema, levels, MIN_BYTES, doc_id, text)
+    return found.withColumn("intent", intentionality(F.col("own"), F.col("ngram"), F.col("n_sentences"), leg)).drop("n_sentences")
 
 
 def legs(ranks: DataFrame, leg: int = LEG) -> DataFrame:
