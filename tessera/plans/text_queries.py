@@ -91,8 +91,7 @@ def sentence_split(spark, sf_dir):
 
 
 def ngram_count(spark, sf_dir):
-    found = prism.occurrences(prism.sentences(_docs(spark, sf_dir)))
-    return found.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("count")).filter("count >= 3")
+    return prism.ngram_counts(_docs(spark, sf_dir), 3)
 
 
 def binding_filter(spark, sf_dir):
