@@ -103,9 +103,8 @@ def binding_filter(spark, sf_dir):
 
 
 def intentionality(spark, sf_dir):
-    found = prism.per_document(prism.occurrences(prism.sentences(_docs(spark, sf_dir))))
-    value = T.intentionality(F.col("own"), F.col("ngram"), F.col("n_sentences"), LEG)
-    return found.withColumn("intent", F.round(value, 6)).filter("intent > 0").select("doc_id", "n", "ngram", "own", "intent")
+    found = prism.own_intents(_docs(spark, sf_dir), LEG)
+    return found.withColumn("intent", F.round("intent", 6)).filter("intent > 0").select("doc_id", "n", "ngram", "own", "intent")
 
 
 def sentence_rank(spark, sf_dir):
