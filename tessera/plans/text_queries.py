@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import prism
+from tessera.operators import prism, running
 from tessera.runtime import materialize, table
 
 LEG = 10  # short documents have short legs
@@ -135,9 +135,8 @@ def static_intent(spark, sf_dir):
 
 
 def ngram_overlap(spark, sf_dir):
-    left = prism.occurrences(prism.sentences(_docs(spark, sf_dir)), (3, 4, 5))
-    right = prism.occurrences(prism.sentences(table(spark, sf_dir, "benchmark"), "item_id"), (3, 4, 5))
-    return prism.overlap(left, right).groupBy("n").agg(F.count(F.lit(1)).alias("shared"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return running.shared(_docs(spark, sf_dir), items, (3, 4, 5))
 
 
 def total_text(spark, sf_dir):
