@@ -54,6 +54,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _bare(text: str) -> str:
     """Without tags and escapes. What has no end is no tag, so each search ends before the last one does."""
+    text = text.replace("\U0010ffff", "\U0010fffe")  # which stands between texts
     if "<" in text:
         end = text.rfind(">") + 1
         text = _TAG.sub("", text[:end]) + text[end:]
@@ -118,22 +119,26 @@ class Words:
         stops[:-1] &= ~letter[1:]
         size = np.flatnonzero(stops) + 1 - at
         self.doc, self.sentence = doc[at], before[segment[at]] + 1 - first[doc[at]]
-        code = _LETTER[u[letter]]
-        self.code, self.start, self.size = code, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size
-        if not at.size:
+        self.code = code = _LETTER[u[letter]]
+        self._finish(size, _BYTES[code], lambda k: _TABLE[k][code])
+
+    def _finish(self, size: np.ndarray, wide: np.ndarray, number) -> None:
+        """Of words of so many characters: hashes, bytes, places and whether they bind."""
+        self.start, self.size = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size
+        if not size.size:
             self.hash, self.bytes, self.place = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             self.open = self.close = np.zeros(0, bool)
             return
-        place = np.arange(len(code)) - np.repeat(self.start, size)
+        place = np.arange(len(wide)) - np.repeat(self.start, size)
         weight = _weight(int(size.max()) + 1)
-        self.hash = np.stack([_mixed(np.add.reduceat(_TABLE[k][code] * weight[k][place], self.start) + weight[k][size]) for k in (0, 1)])
-        self.bytes = np.add.reduceat(_BYTES[code], self.start)
-        new = np.ones(len(at), bool)
+        self.hash = np.stack([_mixed(np.add.reduceat(number(k) * weight[k][place], self.start) + weight[k][size]) for k in (0, 1)])
+        self.bytes = np.add.reduceat(wide, self.start)
+        new = np.ones(len(size), bool)
         new[1:] = (self.doc[1:] != self.doc[:-1]) | (self.sentence[1:] != self.sentence[:-1])
         head = np.flatnonzero(new)
-        self.place = np.arange(len(at)) - np.repeat(head, np.diff(head, append=len(at))) + 1
+        self.place = np.arange(len(size)) - np.repeat(head, np.diff(head, append=len(size))) + 1
         single = self.bytes == 1
-        self.open, self.close = single | np.isin(self.hash[0], _hashes("starters", STARTERS)), single | np.isin(self.hash[0], _hashes("endings", ENDINGS))
+        self.open, self.close = single | np.isin(self.hash[0], _hashes(type(self), STARTERS)), single | np.isin(self.hash[0], _hashes(type(self), ENDINGS))
 
     def grams(self, levels, least: int = MIN_BYTES):
         """For each level: n, the indices of the last words of n-grams, their hashes (64 and 32 bits) and bytes."""
@@ -168,12 +173,33 @@ def slices(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> pyarrow.
     return pyarrow.LargeStringArray.from_buffers(len(size), pyarrow.py_buffer(offsets), pyarrow.py_buffer(picked)).cast(pyarrow.string())
 
 
-_known: dict[str, np.ndarray] = {}
+class PlainWords(Words):
+    """Of texts that are one sentence each and are not cleaned: what stands between , . ; : ! ? and spaces, as it is."""
+
+    def __init__(self, texts: list[str | None]):
+        texts = [t or "" for t in texts]
+        size = np.array([len(t) for t in texts], np.int64)
+        u = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        doc = np.repeat(np.arange(len(texts)), size)
+        letter = ~np.isin(u, [ord(c) for c in ",.;:!? "])
+        edge = np.ones(len(u) + 1, bool)
+        edge[1:-1] = doc[1:] != doc[:-1]
+        starts = letter & (edge[:-1] | ~np.concatenate([[False], letter[:-1]]))
+        stops = letter & (edge[1:] | ~np.concatenate([letter[1:], [False]]))
+        at = np.flatnonzero(starts)
+        self.sentences = np.ones(len(texts), np.int64)
+        self.doc, self.sentence = doc[at], np.ones(len(at), np.int64)
+        u = u[letter]
+        wide = 1 + (u >= 0x80).astype(np.int64) + (u >= 0x800) + (u >= 0x10000)
+        self._finish(np.flatnonzero(stops) + 1 - at, wide, lambda k: _mixed((u.astype(np.uint64) + np.uint64(1)) * _STEPS[k]))
+
+
+_known: dict[tuple, np.ndarray] = {}
 
 
-def _hashes(name: str, words: tuple[str, ...]) -> np.ndarray:
-    if name not in _known:
-        _known[name] = np.zeros(0, np.uint64)  # while the words themselves are read
-        plain = [w for w in words if "'" not in w]
-        _known[name] = Words(plain).hash[0]
-    return _known[name]
+def _hashes(kind: type, words: tuple[str, ...]) -> np.ndarray:
+    """First hashes of words; a cleaned text has none with an apostrophe."""
+    if (kind, words) not in _known:
+        _known[kind, words] = np.zeros(0, np.uint64)  # while the words themselves are read
+        _known[kind, words] = np.concatenate([kind([w]).hash[0] for w in words if kind is PlainWords or "'" not in w])
+    return _known[kind, words]

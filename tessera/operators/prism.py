@@ -15,6 +15,7 @@ import pyarrow
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.grams import PlainWords
 from tessera.functions.text import CUTOFF, LEG, LEVELS, MIN_BYTES, MIN_COUNT, clean, intentionality, let, ngrams, split_sentences, words
 from tessera.operators import running as R
 from tessera.runtime import join_null_safe
@@ -178,17 +179,34 @@ def static_intent(messages: DataFrame, keys: list[str], text: str = "text", stm:
 
     stm: n, ngram, count; by default the counts of these messages together.
     """
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\n\[\]]", "")
-    rows = messages.select(*keys, F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("bytes"), let(words(body), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in LEVELS]))).alias("grams"))
-    each = rows.select(*keys, F.explode_outer("grams").alias("g")).filter("g is not null").select(*keys, "g.n", "g.ngram")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    body = F.regexp_replace(whole, r"[\n\[\]]", "")
     if stm is None:
-        stm = each.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("count"))
+        return _static_intent(messages.select(F.struct(*keys).alias("doc_id"), F.octet_length(whole).alias("bytes"), F.lower(F.regexp_replace(body, r"[/()]", "")).alias("text")), keys)
+    rows = messages.select(*keys, F.octet_length(whole).alias("bytes"), let(words(body), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in LEVELS]))).alias("grams"))
+    each = rows.select(*keys, F.explode_outer("grams").alias("g")).filter("g is not null").select(*keys, "g.n", "g.ngram")
     means = each.distinct().join(stm, ["n", "ngram"], "left").groupBy(*keys, "n").agg(F.avg(F.coalesce("count", F.lit(0))).alias("mean"))
     total = means.groupBy(*keys).agg(F.sum("mean").alias("total"))
     value = F.when(F.col("bytes") < 10, 0.0).otherwise(F.coalesce("total", F.lit(0.0)) * F.col("bytes") / 7)
     return join_null_safe(rows.drop("grams"), total, keys, "left").select(*keys, F.round(value, 4).alias("intent"))
 
 
+def _static_intent(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """static_intent of (doc_id: keys, bytes, text: lower, without what is left out) by the counts of all these texts."""
+
+    def make(c: R.Chunk, count: np.ndarray) -> pyarrow.Table:
+        at, _ = _documents(c)
+        slot, documents = c.group[at] * 8 + c.n[at], int(c.groups[-1]) + 1 if len(c.groups) else 0
+        number = np.bincount(slot, minlength=8 * documents)
+        total = np.bincount(slot, count[c.entry[at]], 8 * documents) / np.maximum(number, 1)
+        return pyarrow.table({"doc_id": c.ids, "bytes": c.table.column("bytes"), "total": total.reshape(-1, 8).sum(axis=1)[c.groups]})
+
+    kind = bodies.schema["doc_id"].dataType.simpleString()
+    found = R.with_answers(bodies, R.counts_in_all, make, f"doc_id {kind}, bytes int, total double", LEVELS, 1, kind=PlainWords, more=("bytes",))
+    value = F.when(F.col("bytes") < 10, 0.0).otherwise(F.col("total") * F.col("bytes") / 7)
+    return found.select(*[F.col("doc_id")[k].alias(k) for k in keys], F.round(value, 4).alias("intent"))
+
+
 def overlap(left: DataFrame, right: DataFrame, on=("n", "ngram")) -> DataFrame:
     """What two sets of n-grams share."""
     return left.select(*on).distinct().join(right.select(*on).distinct(), list(on), "left_semi")

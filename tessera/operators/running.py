@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.grams import Words, slices
+from tessera.functions.grams import PlainWords, Words, slices
 from tessera.functions.text import MIN_BYTES
 from tessera.runtime import map_arrow, materialize
 
@@ -38,24 +38,24 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, size).T).reshape(-1).view("<i8")
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """chunk, doc_id, text: written, in order of id, so that no id is in two chunks and none of a chunk is in two files; and the
-    number of buckets for their hashes."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """chunk, place (its order), doc_id, text: written, in order of id, so that no id is in two chunks and no chunk in two files;
+    and the number of buckets for their hashes."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / CHUNK), min(source.sparkSession.sparkContext.defaultParallelism, math.ceil(size / (1 << 18))))
     ranged = source.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id")
-    numbered = ranged.select(F.spark_partition_id().cast("long").alias("chunk"), "doc_id", "text")
+    numbered = ranged.select(F.spark_partition_id().cast("long").alias("chunk"), F.monotonically_increasing_id().alias("place"), "doc_id", "text", *more)
     return materialize(numbered, "chunks"), min(1 << 16, max(16, math.ceil(size / BUCKET)))
 
 
-def pieces(texts: pyarrow.ChunkedArray) -> Iterator[tuple[np.ndarray, Words]]:
+def pieces(texts: pyarrow.ChunkedArray, kind: type = Words) -> Iterator[tuple[np.ndarray, Words]]:
     """Places of some texts, and their words."""
     text = texts.combine_chunks() if texts.num_chunks else pyarrow.array([], pyarrow.string())
     size = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
     piece = (np.cumsum(size) - size) // PIECE
     for at in np.split(np.arange(len(text)), np.flatnonzero(np.diff(piece)) + 1) if len(text) else []:
-        yield at, Words(text.slice(int(at[0]), len(at)).to_pylist())
+        yield at, kind(text.slice(int(at[0]), len(at)).to_pylist())
 
 
 def keyed(n: int, h: np.ndarray, x: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +69,10 @@ def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return out
 
 
-def counted(table: pyarrow.Table, levels, least: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def counted(table: pyarrow.Table, levels, least: int, buckets: int, kind: type = Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """bucket, hashes in order, counts: of the n-grams of a chunk."""
     bucket, hashes = [], []
-    for _, words in pieces(table.column("text")):
+    for _, words in pieces(table.column("text"), kind):
         for k, _, h, x, _ in words.grams(levels, least):
             b, h = keyed(k, h, x, buckets)
             bucket.append(b)
@@ -89,7 +89,7 @@ def counted(table: pyarrow.Table, levels, least: int, buckets: int) -> Iterator[
 class Chunk:
     """The n-grams of the documents of a chunk, in order of (bucket, hash, id, sentence, place)."""
 
-    def __init__(self, table: pyarrow.Table, levels, least: int, buckets: int):
+    def __init__(self, table: pyarrow.Table, levels, least: int, buckets: int, kind: type = Words):
         ids = table.column("doc_id")
         ids = ids.combine_chunks() if ids.num_chunks else pyarrow.array([], ids.type)
         n = len(ids)
@@ -97,11 +97,11 @@ class Chunk:
         if n > 1:
             new[1:] = ~_same(ids)
         group = (np.cumsum(new) - 1).astype(np.int32)  # rows that share an id are one document
-        self.ids, self.groups, self.sentences = ids, group, np.zeros(n, np.int64)
+        self.table, self.ids, self.groups, self.sentences = table, ids, group, np.zeros(n, np.int64)
         bucket, hashes, row, sentence, size, letters, start, base = [], [], [], [], [], [], [], 0
-        for at, words in pieces(table.column("text")):
+        for at, words in pieces(table.column("text"), kind):
             self.sentences[at] = words.sentences
-            made, places = words.letters()
+            made, places = words.letters() if kind is Words else (np.zeros(0, np.uint8), words.start)
             letters.append(made)
             doc, sent, places = (words.doc + at[0]).astype(np.int32), words.sentence.astype(np.int32), places + base
             for k, last, h, x, wide in words.grams(levels, least):
@@ -146,6 +146,8 @@ class Chunk:
 
 def _same(ids: pyarrow.Array) -> np.ndarray:
     """Whether each id but the first is that of the row before; null is an id."""
+    if pyarrow.types.is_struct(ids.type):
+        return np.logical_and.reduce([_same(x) for x in ids.flatten()])
     a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
     nulls = pc.and_(pc.is_null(a), pc.is_null(b))
     return np.asarray(pc.or_(nulls, pc.fill_null(pc.equal(a, b), False)))
@@ -169,13 +171,13 @@ def each_chunk(batches: Iterator) -> Iterator[tuple[int, pyarrow.Table]]:
 _ENTRIES = "bucket int, chunk long, hashes binary, counts binary"
 
 
-def entries(dealt: DataFrame, buckets: int, levels, least: int) -> DataFrame:
+def entries(dealt: DataFrame, buckets: int, levels, least: int, kind: type = Words) -> DataFrame:
     """bucket, chunk, hashes (in order, as differences), counts: of the n-grams of each chunk."""
 
     def run(batches: Iterator) -> Iterator:
         for number, table in each_chunk(batches):
             rows = {"bucket": [], "chunk": [], "hashes": [], "counts": []}
-            for k, hashes, counts in counted(table, levels, least, buckets):
+            for k, hashes, counts in counted(table, levels, least, buckets, kind):
                 for name, value in zip(rows, (k, number, pack(np.diff(hashes, prepend=np.int64(0))), pack(counts)), strict=True):
                     rows[name].append(value)
             yield pyarrow.RecordBatch.from_arrays([pyarrow.array(rows["bucket"], pyarrow.int32()), pyarrow.array(rows["chunk"], pyarrow.int64()), pyarrow.array(rows["hashes"], pyarrow.binary()), pyarrow.array(rows["counts"], pyarrow.binary())], names=list(rows))
@@ -217,6 +219,12 @@ def counts_before(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
     return before - before[np.flatnonzero(first)][np.cumsum(first) - 1]
 
 
+def counts_in_all(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often all chunks together have the n-gram."""
+    at = np.flatnonzero(first)
+    return np.add.reduceat(counts, at)[np.cumsum(first) - 1] if len(at) else counts
+
+
 def total_at_first(least: int) -> Callable:
     """The count in all chunks, at the first that has the n-gram; 0 elsewhere and below `least`."""
 
@@ -231,14 +239,13 @@ def total_at_first(least: int) -> Callable:
     return answer
 
 
-def with_answers(docs: DataFrame, answer: Callable, make: Callable, schema: str, levels, least: int = MIN_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_answers(docs: DataFrame, answer: Callable, make: Callable, schema: str, levels, least: int = MIN_BYTES, doc_id: str = "doc_id", text: str = "text", kind: type = Words, more: tuple[str, ...] = ()) -> DataFrame:
     """make(chunk, answers for its hashes), a table for each chunk."""
-    written, buckets = chunks(docs, doc_id, text)
-    replies = answers(entries(written, buckets, levels, least), answer)
+    written, buckets = chunks(docs, doc_id, text, more)
+    replies = answers(entries(written, buckets, levels, least, kind), answer)
 
     def run(texts: pyarrow.Table, replied: pyarrow.Table) -> pyarrow.Table:
-        order = pc.sort_indices(texts.select(["doc_id"]), sort_keys=[("doc_id", "ascending")], null_placement="at_start")
-        c = Chunk(texts.take(order), levels, least, buckets)
+        c = Chunk(texts.sort_by("place"), levels, least, buckets, kind)
         got = [unpack(b.as_buffer()) for b in replied.sort_by("bucket").column("answers")]
         return make(c, np.concatenate(got) if got else np.zeros(0, np.int64))
 

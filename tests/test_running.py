@@ -72,3 +72,15 @@ def test_shared(spark):
     left = spark.createDataFrame([(1, "one two three four. five six"), (2, "one two three")], "doc_id long, text string")
     right = spark.createDataFrame([("x", "zero one two three"), ("y", None)], "doc_id string, text string")
     assert {(r.n, r.shared) for r in running.shared(left, right, (1, 2, 3)).collect()} == {(1, 3), (2, 2), (3, 1)}
+
+
+def test_static_intent_in_chunks(spark, monkeypatch):
+    """By the counts of all messages, as with a table of them; keys may repeat or be null, words may be of any letters."""
+    monkeypatch.setattr(running, "CHUNK", 1 << 9)
+    r = random.Random(5)
+    parts = [*ODD, "Ünï", "[x]", "it's", "漢字", " ", " ", " ", "of", "alpha", "\U0010ffff"]
+    rows = [(None if i == 3 else i % 50, None if i == 4 else i % 7, "".join(r.choice(parts) for _ in range(r.randrange(40)))) for i in range(200)]
+    frame = spark.createDataFrame([*rows, (1, 1, None)], "a long, b int, text string")
+    stm = frame.select(F.explode_outer(prism.let(prism.words(F.regexp_replace("text", r"[\n\[\]]", "")), lambda w: F.flatten(F.array(*[prism.ngrams(w, n) for n in prism.LEVELS])))).alias("g")).filter("g is not null").groupBy("g.n", "g.ngram").agg(F.count(F.lit(1)).alias("count"))
+    plain = lambda f: Counter((x.a, x.b, round(x.intent, 3)) for x in f.collect())
+    assert plain(prism.static_intent(frame, ["a", "b"])) == plain(prism.static_intent(frame, ["a", "b"], stm=stm))
