@@ -13,6 +13,8 @@ import pyarrow
 
 from tessera.functions.text import ENDINGS, MIN_BYTES, STARTERS
 
+#: Characters of a text that are held at least before they are counted.
+PIECE = 1 << 19
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TAG, _ESCAPE = re.compile("<[^>]*>"), re.compile("\\\\[^ –\n]+")
@@ -103,6 +105,7 @@ class Words:
         segment = np.cumsum(mark) - mark
         full = np.zeros(int(mark.sum()) + 1, bool)
         full[segment[~mark & (kind != _SPACE) & (kind != _LINE)]] = True
+        self.segments = full[:-1]
         before = np.concatenate([[0], np.cumsum(full)])
         last = segment[over]
         upto = before[last + 1]
@@ -173,6 +176,61 @@ def slices(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> pyarrow.
     return pyarrow.LargeStringArray.from_buffers(len(size), pyarrow.py_buffer(offsets), pyarrow.py_buffer(picked)).cast(pyarrow.string())
 
 
+class SentenceCount:
+    """The sentences of one text that comes in parts: held are a piece of it and what a tag that may yet end would leave out.
+
+    The text is cut between a space and a letter, which no pattern of functions.text.CLEANING but that of tags spans.
+    """
+
+    def __init__(self):
+        self.closed, self.open, self.held, self.limit, self.outside = 0, False, "", PIECE, None
+
+    def add(self, part: str) -> None:
+        while part:
+            if self.outside is not None:  # within what is a tag if an end comes, and else plain text
+                end = part.find(">")
+                if end < 0:
+                    return self._feed(part)
+                (self.closed, self.open, self.held, self.limit), self.outside = self.outside, None
+                part = part[end + 1 :]
+                continue
+            end = part.rfind(">") + 1
+            part = _TAG.sub("", part[:end]) + part[end:]
+            start = part.find("<", part.rfind(">") + 1)
+            if start < 0:
+                return self._feed(part)
+            self._feed(part[:start])
+            self.outside = (self.closed, self.open, self.held, self.limit)
+            return self._feed(part[start:])
+
+    def total(self) -> int:
+        """With the empty one that stands first."""
+        self._count(self.held)
+        self.held = ""
+        return self.closed + self.open + 1
+
+    def _feed(self, part: str) -> None:
+        self.held += part
+        if len(self.held) < self.limit:
+            return
+        at = len(self.held) - 1
+        while (at := self.held.rfind(" ", 0, at)) >= 0:
+            following = self.held[at + 1]
+            if following.isascii() and following.isalpha():
+                self._count(self.held[: at + 1])
+                self.held, self.limit = self.held[at + 1 :], PIECE
+                return
+        self.limit = 2 * len(self.held)
+
+    def _count(self, piece: str) -> None:
+        first, *more = Words([piece]).segments.tolist()
+        if more:
+            self.closed += (self.open or first) + sum(more[:-1])
+            self.open = more[-1]
+        else:
+            self.open = self.open or first
+
+
 class PlainWords(Words):
     """Of texts that are one sentence each and are not cleaned: what stands between , . ; : ! ? and spaces, as it is."""
 

@@ -6,13 +6,18 @@ logarithm of 0 is null; a null text has no sentence; empty tables give empty res
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tessera.functions.grams import SentenceCount
 from tessera.functions.text import key_name
 from tessera.operators import history, prism
 from tessera.operators.graph import make_links, sub_ngrams
-from tessera.runtime import join_null_safe, materialize
+from tessera.runtime import join_null_safe, map_arrow, materialize
 
 #: The shortest name that a node may have.
 MIN_KEY = 3
@@ -30,11 +35,46 @@ def text_sizes(texts: DataFrame) -> DataFrame:
     return join_null_safe(sized, found, ["subject"], "left").withColumn("sentences", F.coalesce("sentences", F.lit(1)))
 
 
-def measured(articles: DataFrame, log: DataFrame, separator: str = "") -> DataFrame:
-    """subject, bytes, sentences, history_bytes, history_sentences: of articles (subject, text) and the messages of a changelog, in order."""
-    messages = log.select("subject", F.struct("date", "seq").alias("at"), F.col("message").alias("text"))
-    talk = text_sizes(prism.total_text(messages, "subject", "at", separator=separator).withColumnRenamed("total", "text"))
-    return text_sizes(articles).join(talk.select("subject", F.col("bytes").alias("history_bytes"), F.col("sentences").alias("history_sentences")), "subject")
+def joined_sizes(parts: DataFrame, separator: str = "") -> DataFrame:
+    """text_sizes of texts in parts (subject, part: their order, text), with a separator between two: a task holds a piece of one."""
+    whole = parts.select("subject", "part", F.coalesce("text", F.lit("")).alias("text"))
+    between = (F.count(F.lit(1)) - 1) * len(separator.encode())
+    sized = whole.groupBy("subject").agg((F.sum(F.octet_length("text")) + between).cast("long").alias("bytes"))
+    dealt = whole.repartition("subject").sortWithinPartitions("subject", "part", "text").select("subject", "text")
+    kind = dealt.schema["subject"].dataType
+
+    def run(batches: Iterator) -> Iterator:
+        subject, counter = None, None
+        names = ["subject", "sentences"]
+        for batch in batches:
+            done = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if counter is None or key != subject:
+                    if counter is not None:
+                        done.append((subject, counter.total()))
+                    subject, counter = key, SentenceCount()
+                    counter.add(text)
+                else:
+                    counter.add(separator)
+                    counter.add(text)
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([x[0] for x in done], batch.schema.field(0).type), pyarrow.array([x[1] for x in done], pyarrow.int64())], names=names)
+            form = batch.schema.field(0).type
+        if counter is not None:
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([subject], form), pyarrow.array([counter.total()], pyarrow.int64())], names=names)
+
+    found = map_arrow(dealt, run, StructType([StructField("subject", kind), StructField("sentences", LongType())]))
+    return join_null_safe(sized, found, ["subject"])
+
+
+def measured(articles: DataFrame, log: DataFrame, separator: str = "", joint: str = "\n") -> DataFrame:
+    """subject, bytes, sentences, history_bytes, history_sentences: of articles (subject, text) and the messages of a changelog, in order.
+
+    Articles may come in parts (subject, part, text), which `joint` stands between.
+    """
+    messages = log.select("subject", F.struct("date", "seq").alias("part"), F.col("message").alias("text"))
+    talk = joined_sizes(messages, separator)
+    sizes = joined_sizes(articles, joint) if "part" in articles.columns else text_sizes(articles)
+    return sizes.join(talk.select("subject", F.col("bytes").alias("history_bytes"), F.col("sentences").alias("history_sentences")), "subject")
 
 
 def analyze(articles: DataFrame, log: DataFrame, kind: str = "db", separator: str = "", **options) -> DataFrame:

@@ -1,9 +1,13 @@
 """Small cases of whole topics."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from tessera.functions import grams
 from tessera.operators import topics as O
 from tests.test_edges import _log
+from tests.test_running import ODD
 
 
 def test_measured(spark):
@@ -27,3 +31,24 @@ def test_links(spark):
     assert ("episode/1", "ngram3/one_two_three") in links and ("ngram3/one_two_three", "ngram1/two") in links and ("episode/2", "ngram4/a_b_c_d") in links
     assert not any("too" in a or "too" in b for a, b in links) and ("ngram4/a_b_c_d", "ngram1/a") not in links
     assert O.difference_links(concepts.filter("episode > 9")).count() == O.story_links(picked.filter("s_idx > 99")).count() == 0
+
+
+def test_sizes_of_parts(spark, monkeypatch):
+    """Texts in parts, cut anywhere, are counted as if they were one, tags that end in a later part or never too."""
+    monkeypatch.setattr(grams, "PIECE", 24)
+    r = random.Random(11)
+    parts = [*ODD, "x y", "Yes. No", "word ", "word "]
+    texts = {s: [r.choice([None, "".join(r.choice(parts) for _ in range(r.randrange(30)))]) for _ in range(r.randrange(1, 9))] for s in range(600)}
+    texts |= {None: ["a <b", "c. d! ", "e> f. g"], 1000: ["a <b. c", "d. e", ""]}
+    for separator in ("", "\n", ". "):
+        expected = {s: grams.Words([separator.join(t or "" for t in ts)]).sentences[0] + 1 for s, ts in texts.items()}
+        found = {}
+        for s, ts in texts.items():
+            count = grams.SentenceCount()
+            for k, t in enumerate(ts):
+                count.add((separator if k else "") + (t or ""))
+            found[s] = count.total()
+        assert found == expected
+    frame = spark.createDataFrame([(s, k, t) for s, ts in texts.items() for k, t in enumerate(ts)], "subject int, part int, text string")
+    sizes = {r.subject: (r.bytes, r.sentences) for r in O.joined_sizes(frame, ". ").collect()}
+    assert sizes == {s: (len(". ".join(t or "" for t in ts).encode()), expected[s]) for s, ts in texts.items()}
