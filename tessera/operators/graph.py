@@ -7,6 +7,8 @@ row updates. Chains and paths are bounded walks that end when nothing is left to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -94,6 +96,8 @@ def make_links(frame: DataFrame, from_id: Column, semantics: Column, to_id: Colu
 
 
 EDGE = ["from_id", "semantics", "to_id"]
+#: Versions of links that a task sorts, about.
+SORTED = 500_000
 
 
 def upsert_links(versions: DataFrame, seq: str = "seq") -> DataFrame:
@@ -119,7 +123,10 @@ def upsert_values(versions: DataFrame, keys: list[str], value: str, seq: str = "
 def learn_links(versions: DataFrame, seq: str = "seq") -> DataFrame:
     """Half of each weight and half of what was, from 0, in order; null weights are passed over."""
     after = F.count("weight").over(Window.partitionBy(*EDGE).orderBy(F.desc(seq), F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1))
-    weighed = versions.withColumn("after", F.coalesce(after, F.lit(0)))
+    # So many edges to a task that its sort is of a bounded size, however many there are.
+    own = versions.select(*EDGE, seq, "weight")
+    dealt = own.repartition(max(math.ceil(own.count() / SORTED), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "from_id", "to_id")
+    weighed = dealt.withColumn("after", F.coalesce(after, F.lit(0)))
     return weighed.groupBy(*EDGE).agg(F.coalesce(F.sum(F.pow(F.lit(0.5), F.col("after") + 1) * F.col("weight")), F.lit(0.0)).alias("weight"))
 
 
