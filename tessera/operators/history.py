@@ -224,14 +224,28 @@ def topic_summary(log: DataFrame, articles: DataFrame, kind: str = "db", **optio
 BAD_SIGNALS = ("fuck", "cunt", "bastard", "unhelpful", "unfair", "too", "deceiv", "deceptive", "terrorism", "justice", "unsourced")
 
 
+def bad_signal(message: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, BAD_SIGNALS)), lambda x: F.contains(F.lower(message), x))
+
+
+def measure_changes(changes: DataFrame) -> DataFrame:
+    """`changes` with added_bytes, url, bad: what assess_changes asks of texts, so that they need not be dealt."""
+    added = F.coalesce("added", F.lit(""))
+    return changes.withColumns({"added_bytes": F.octet_length(added), "url": F.contains("added", F.lit("http")), "bad": bad_signal(F.col("message"))})
+
+
 def assess_changes(changes: DataFrame, limit: int = 1000) -> DataFrame:
     """`changes` (added, removed, message, intent, ord) with assessment, flags (names) and sigma: how far the intent is from the running mean.
 
-    The mean runs over all subjects together, in order of `ord`, which no two rows share.
+    The mean runs over all subjects together, in order of `ord`, which no two rows share. Instead of the three texts, changes
+    may have removed_bytes and what measure_changes gives.
     """
-    add, rm = F.octet_length(F.coalesce("added", F.lit(""))), F.octet_length(F.coalesce("removed", F.lit("")))
+    if "removed_bytes" in changes.columns:
+        add, rm, url, bad = (F.col(c) for c in ("added_bytes", "removed_bytes", "url", "bad"))
+    else:
+        add, rm = F.octet_length(F.coalesce("added", F.lit(""))), F.octet_length(F.coalesce("removed", F.lit("")))
+        url, bad = F.contains("added", F.lit("http")), bad_signal(F.col("message"))
     large, deletion = F.abs(add - rm) > limit, rm > add * 10
-    bad = F.exists(F.array(*map(F.lit, BAD_SIGNALS)), lambda x: F.contains(F.lower("message"), x))
     # Rows go to blocks by their place in the whole order, each with the 63 before it: older terms weigh less than 2^-63.
     places = running_before(changes.select("ord", "intent", F.lit(1).alias("one")), [], "ord", "one", "place").select("ord", "intent", "place")
     own = F.floor(F.col("place") / AVERAGED)
@@ -244,7 +258,7 @@ def assess_changes(changes: DataFrame, limit: int = 1000) -> DataFrame:
     flags = F.array_compact(
         F.array(
             F.when(large, F.lit("large_edit")), F.when(deletion, F.lit("large_deletion")), F.when(bad, F.lit("counter_policy_message")), F.when(F.col("sigma") > 1.5, F.lit("anomalous_message")),
-            F.when((large | deletion) & F.contains("added", F.lit("http")), F.lit("url_warning")),
+            F.when((large | deletion) & url, F.lit("url_warning")),
         )
     )
     level = F.when(large | deletion, F.lit("potential_trustworthinss_low")).otherwise(F.lit("potential_trustworthiness_ok"))

@@ -129,9 +129,10 @@ def no_bots(spark, sf_dir):
 def assess_changes(spark, sf_dir):
     """Each document in place of its subject's document before it; the message is its first line."""
     text = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("subject"), F.col("doc_id").alias("ord"), text.alias("added"))
-    before = F.lag("added", 1, "").over(Window.partitionBy("subject").orderBy("ord"))
-    changes = d.select("*", before.alias("removed"), F.get(F.split("added", "\n"), F.lit(0)).alias("message"), (F.length("added") % 97).cast("double").alias("intent"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("subject"), F.col("doc_id").alias("ord"), text.alias("added"), F.get(F.split(text, "\n", 2), F.lit(0)).alias("message"), (F.length(text) % 97).cast("double").alias("intent"))
+    measured = H.measure_changes(d).drop("added", "message")
+    before = F.lag("added_bytes", 1, 0).over(Window.partitionBy("subject").orderBy("ord"))
+    changes = measured.withColumn("removed_bytes", before)
     return H.assess_changes(changes).select("subject", "ord", "assessment", F.array_join("flags", ",").alias("flags"), F.round("sigma", 6).alias("sigma"))
 
 
