@@ -1,10 +1,14 @@
 """What must not grow with a task's share of the input."""
 
+import pickle
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import history as H
 from tessera.plans import history_queries as HQ
+from tessera.streaming import online as S
 from tests.oracle import SMALL
 
 
@@ -28,3 +32,11 @@ def test_assessed_texts_are_not_dealt(spark):
     own = H.measure_changes(changes).withColumn("removed_bytes", F.octet_length(F.coalesce("removed", F.lit("")))).drop("added", "removed", "message")
     kept = ("ord", "assessment", "flags", "sigma")
     assert sorted(H.assess_changes(own).select(*kept).collect()) == sorted(H.assess_changes(changes).select(*kept).collect())
+
+
+def test_waiting_rows_are_packed():
+    n = 20_000
+    r = np.random.default_rng(1)
+    for column in (np.sort(r.integers(1 << 60, (1 << 60) + 10**13, n)), np.array([S.UNDATED, 0, 5]), r.random(n), np.array([None, "x"], object), np.zeros(0, np.int64)):
+        assert S._opened(S._closed(column)).tolist() == column.tolist()
+        assert column.dtype == object or len(pickle.dumps(S._closed(column))) < 200 + 9 * len(column)
