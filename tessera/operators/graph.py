@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from tessera.runtime import materialize
+from tessera.runtime import materialize, release
 
 KINDS = ("topic", "ngram1", "ngram2", "ngram3", "ngram4", "ngram5", "ngram6", "event", "episode", "user", "signal")
 LINK_TYPES = ("none", "Follows", "Contains", "Expresses", "Near")
@@ -197,14 +197,18 @@ def chain_from(links: DataFrame, start_semantics: str, walk_type: str | None, se
     step = links.filter(F.col("semantics") == semantics) if semantics else links.filter(F.col("link_type") == walk_type)
     nxt = materialize(step.groupBy(F.col("from_id").alias("node")).agg(F.min("to_id").alias("next")), "next")
     heads = links.filter(F.col("semantics") == start_semantics).groupBy(F.col("from_id").alias("start")).agg(F.min("to_id").alias("node"))
-    chain = heads.withColumn("hop", F.lit(1))
+    chain = materialize(heads.withColumn("hop", F.lit(1)), "chain")
     jump, length = nxt, 1
     while length < hops:
-        # Every node so far, moved on by the length covered.
+        # Every node so far, moved on by the length covered; what is known is written once.
         more = chain.join(jump, "node").select("start", F.col("next").alias("node"), (F.col("hop") + length).alias("hop")).filter(F.col("hop") <= hops)
-        chain = materialize(chain.unionByName(more), "chain")
+        chain = chain.unionByName(materialize(more, "chain"))
         length *= 2
-        jump = materialize(jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")), "jump")
+        if length >= hops:
+            break
+        after = materialize(jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")), "jump")
+        release(jump)
+        jump = after
         if not jump.limit(1).count():
             break
     first = chain.groupBy("start", "node").agg(F.min("hop").alias("hop"))

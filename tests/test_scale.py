@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as G
 from tessera.operators import history as H
 from tessera.plans import history_queries as HQ
+from tessera.runtime import materialize
 from tessera.streaming import online as S
 from tests.oracle import SMALL
 
@@ -40,3 +41,19 @@ def test_waiting_rows_are_packed():
     for column in (np.sort(r.integers(1 << 60, (1 << 60) + 10**13, n)), np.array([S.UNDATED, 0, 5]), r.random(n), np.array([None, "x"], object), np.zeros(0, np.int64)):
         assert S._opened(S._closed(column)).tolist() == column.tolist()
         assert column.dtype == object or len(pickle.dumps(S._closed(column))) < 200 + 9 * len(column)
+
+
+def test_chains_are_written_once(spark, monkeypatch):
+    written = []
+
+    def counted(frame, name):
+        out = materialize(frame, name)
+        written.extend([out.count()] if name == "chain" else [])
+        return out
+
+    monkeypatch.setattr(G, "materialize", counted)
+    rows = [("topic", "HEAD", "n00")] + [(f"n{i:02}", "THEN", f"n{i + 1:02}") for i in range(30)]
+    links = spark.createDataFrame([("Follows", *r) for r in rows], "link_type string, from_id string, semantics string, to_id string")
+    found = G.chain_from(links, "HEAD", None, "THEN", 20)
+    assert {(r.hop, r.node) for r in found.collect()} == {(i + 1, f"n{i:02}") for i in range(20)}
+    assert sum(written) == 20
